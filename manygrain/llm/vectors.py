@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, connected_components, stored
+from .common import bucket_of, connected_components, drop_stored, stored
 from .simhash import local_roots
 
 #: Bucket width over the distance at the threshold; chance of missing a pair there; rows that meet by chance in a bucket; rows in a chunk.
@@ -111,45 +111,56 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def link_buckets(tables: DataFrame, cosine: float) -> DataFrame:
-    """Edges that connect all rows of a bucket with a cosine of ``cosine`` or more."""
+def by_cosine(cosine: float) -> tuple[Callable, Callable]:
+    """How rows are loaded and compared: unit vectors, cosine of ``cosine`` or more."""
+    return units, lambda x, y: x @ y.T >= cosine
+
+
+def link_buckets(tables: DataFrame, load: Callable, near: Callable, chunk: int = CHUNK) -> DataFrame:
+    """Edges that connect all rows of a bucket that ``near`` joins. tables: bucket, node, vec."""
+
+    def pairs(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a in range(0, len(x), chunk):
+            for b in range(a, len(x), chunk):
+                i, j = np.nonzero(near(x[a : a + chunk], x[b : b + chunk]))
+                keep = i + a < j + b
+                yield i[keep] + a, j[keep] + b
 
     def within(group: pa.Table) -> pa.Table:
         node = group.column("node").to_numpy()
         if len(node) < 2:
             return _edges([], [])
-        x = units(group.column("vec").combine_chunks())
-        root = local_roots(len(node), (_above(x, x, a, b, cosine) for a in range(0, len(x), CHUNK) for b in range(a, len(x), CHUNK)))
+        root = local_roots(len(node), pairs(load(group.column("vec").combine_chunks())))
         at = np.flatnonzero(root != np.arange(len(root)))
         return _edges(node[at], node[root[at]])
 
-    sizes = tables.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1")
-    sizes = stored(sizes, "sizes")
-    placed = tables.join(sizes, "bucket").withColumn("chunk", bucket_of(F.col("node"), F.col("bucket"), buckets=1 << 30) % F.ceil(F.col("rows") / CHUNK).cast("int"))
+    sizes = stored(tables.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1"), "sizes")
+    placed = tables.join(sizes, "bucket").withColumn("chunk", bucket_of(F.col("node"), F.col("bucket"), buckets=1 << 30) % F.ceil(F.col("rows") / chunk).cast("int"))
     placed = stored(placed, "placed")
     edges = stored(by_group(placed.select("bucket", "chunk", "node", "vec"), ["bucket", "chunk"], within, "a long, b long").distinct(), "edges")
-    large = placed.where(F.col("rows") > CHUNK)
+    large = placed.where(F.col("rows") > chunk)
     if large.isEmpty():
+        drop_stored(placed)
         return edges
     # rows of large buckets outside their bucket's main component meet every chunk of it
     part = connected_components(edges).withColumnRenamed("component", "part")
     large = stored(large.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")), "large")
     main = large.groupBy("bucket", "part").count().groupBy("bucket").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
     large = large.join(main, "bucket")
-    chunks = F.sequence(F.lit(0), F.ceil(F.col("rows") / CHUNK).cast("int") - 1)
+    chunks = F.sequence(F.lit(0), F.ceil(F.col("rows") / chunk).cast("int") - 1)
     guests = large.where("part <> main").select("bucket", F.explode(chunks).alias("chunk"), "node", "part", "vec", F.lit(1).alias("guest"))
     hosts = large.select("bucket", "chunk", "node", "part", "vec", F.lit(0).alias("guest"))
 
     def across(group: pa.Table) -> pa.Table:
-        guest, node, part = (group.column(c).to_numpy() for c in ("guest", "node", "part"))
+        guest, part = (group.column(c).to_numpy() for c in ("guest", "part"))
         g, h = np.flatnonzero(guest == 1), np.flatnonzero(guest == 0)
         if not len(g) or not len(h):
             return _edges([], [])
-        x = units(group.column("vec").combine_chunks())
+        x = load(group.column("vec").combine_chunks())
         found = set()
-        for a in range(0, len(g), CHUNK):
-            for b in range(0, len(h), CHUNK):
-                i, j = np.nonzero(x[g[a : a + CHUNK]] @ x[h[b : b + CHUNK]].T >= cosine)
+        for a in range(0, len(g), chunk):
+            for b in range(0, len(h), chunk):
+                i, j = np.nonzero(near(x[g[a : a + chunk]], x[h[b : b + chunk]]))
                 i, j = part[g[a + i]], part[h[b + j]]
                 found.update(zip(i[i != j].tolist(), j[i != j].tolist()))
         return _edges(*zip(*found)) if found else _edges([], [])
@@ -157,12 +168,6 @@ def link_buckets(tables: DataFrame, cosine: float) -> DataFrame:
     return edges.unionByName(by_group(hosts.unionByName(guests), ["bucket", "chunk"], across, "a long, b long").distinct())
 
 
-def _above(x: np.ndarray, y: np.ndarray, a: int, b: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    i, j = np.nonzero(x[a : a + CHUNK] @ y[b : b + CHUNK].T >= cosine)
-    keep = i + a < j + b
-    return i[keep] + a, j[keep] + b
-
-
 def count_links(members: DataFrame, cosine: float, block: int = CHUNK // 2) -> DataFrame:
     """node, links: the weight of all other classes of its component at ``cosine`` or more. members: component, node, weight, vec."""
     sizes = members.groupBy("component").agg(F.count("*").alias("rows"))
@@ -198,7 +203,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     rows = vectors.select("vec_id", F.col("embedding").alias("vec")).withColumn("sound", F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull())
     classes = rows.where("sound").groupBy("vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
     classes = stored(classes, "classes")
-    edges = link_buckets(hashed(classes, classes.count(), cosine), cosine)
+    edges = link_buckets(hashed(classes, classes.count(), cosine), *by_cosine(cosine))
     components = stored(connected_components(edges), "components")
     inside = classes.join(components, "node")
     links = count_links(inside.select("component", "node", "weight", "vec"), cosine)
