@@ -1,0 +1,6 @@
+"""Streaming input.
+
+The verbs plan over DataFrames, and a streaming DataFrame is one: summaries by ``rollup`` run in
+complete output mode as far as Spark analyses them; shares, sorting and empty-input totals need
+batch data, and Spark's own analysis says so.
+"""
