@@ -143,8 +143,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 1, segment: int
     return stored(ordered.mapInArrow(encode, SEGMENTS), "tokens")
 
 
-def placed_segments(segments: DataFrame) -> DataFrame:
-    """Segments with ``first``, the number of tokens in all segments before.
+def segment_offsets(segments: DataFrame) -> DataFrame:
+    """part, segment, first: the number of tokens in all segments before; payloads aren't read.
 
     Sums per part come first, so the one window over all rows sees a row per written file.
     """
@@ -152,23 +152,26 @@ def placed_segments(segments: DataFrame) -> DataFrame:
     parts = parts.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_before"))
     within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("segment")) - F.col("n_tokens")
     offsets = segments.select("part", "segment", "n_tokens").withColumn("_within", within)
-    offsets = offsets.join(parts, "part").select("part", "segment", (F.col("_before") + F.col("_within")).alias("first"))
-    return segments.join(offsets, ["part", "segment"])
+    return offsets.join(parts, "part").select("part", "segment", (F.col("_before") + F.col("_within")).alias("first"))
 
 
 def read_digests(segments: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
+    names = ["part", "segment", "doc_id", "within", "n_tokens", "ids_crc32"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for part, number, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 doc_ids, lengths, codes = read_payload(payload.as_buffer())
                 ids = unpack_codes(codes)
                 ends = np.cumsum(lengths)
                 sums = [zlib.crc32(ids[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends, lengths)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(first + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                columns = ([part] * len(sums), [number] * len(sums), doc_ids, ends - lengths, lengths, sums)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-    return placed_segments(segments).select("first", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    read = segments.select("part", "segment", "payload").mapInArrow(decode, "part int, segment int, doc_id long, within long, n_tokens long, ids_crc32 long")
+    return read.join(segment_offsets(segments), ["part", "segment"]).select("doc_id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
