@@ -6,8 +6,9 @@ suffix goes to the group of that hash, and suffixes next to each other in a text
 hash travel as one stretch. Stretches whose hash is found once hold no match. Equal stretches are
 merged by hash and counted. Of the rest, each group is sorted into suffix order; where
 neighbours agree to the full depth, the previous smaller positions give the longest previous
-factor, and any other member a match. Groups of over GROUP stretches compare suffixes by
-128-bit hashes instead, each its own key, so that no task holds them all.
+factor, and any other member a match. Groups of over GROUP stretches are cut into pieces of
+eight starts, grouped by the bytes that all strings of a piece share, and equal pieces merged;
+what is still too large goes on by single strings, so that no task holds such a group.
 """
 
 from __future__ import annotations
@@ -146,36 +147,71 @@ def _match_groups(ranges: DataFrame, length: int) -> DataFrame:
     return by_group(ranges, ["h"], with_ranks, _MASKS)
 
 
-def _match_hashes(ranges: DataFrame, length: int) -> DataFrame:
-    """The same masks for stretches of large groups: suffixes meet by 128-bit hashes, each a key of its own."""
+def _narrow(ranges: DataFrame, length: int, step: int) -> DataFrame:
+    """Stretches cut into pieces of ``step`` starts at most, grouped by the bytes that all strings of a piece share."""
+    names = ["h", "rh", "doc_id", "th", "lo", "n", "o", "bytes", "ph", "prh", "j"]
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
 
+        kinds = (pa.int64(),) * 4 + (pa.int32(), pa.int16(), pa.int16(), pa.binary(), pa.int64(), pa.int64(), pa.int16())
         for batch in batches:
-            columns = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("h", "rh", "doc_id", "th", "lo", "n", "o", "bytes")}
-            for h, rh, doc_id, th, lo, n, o, data in zip(*columns.values()):
-                view = memoryview(data)
-                keys = [xxh3_128_digest(view[j : j + length], o - j & 0xFFFF) for j in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([x] * n, t) for x, t in ((h, pa.int64()), (rh, pa.int64()), (doc_id, pa.int64()), (th, pa.int64()))] + [pa.array([lo + j for j in range(n)], pa.int32()), pa.array(range(n), pa.int16()), pa.array(keys, pa.binary())], names=["h", "rh", "doc_id", "th", "at", "j", "w"])
-
-    where = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", "at").alias("where")
-    each = stored(ranges.mapInArrow(spread, "h long, rh long, doc_id long, th long, at int, j short, w binary").select("h", "rh", "j", "w", where), "suffixes")
-    met = stored(each.groupBy("w").agg(F.count("*").alias("k"), F.min("where").alias("least")).where("k > 1"), "met")
-    found = each.join(met, "w").groupBy("h", "rh").agg(F.sort_array(F.collect_list(F.struct("j", (F.col("where") > F.col("least")).alias("later")))).alias("js"))  # at most 169 starts
-
-    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, columns = [], [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("h", "rh", "doc_id", "th", "lo", "n", "o", "bytes")]
+            for h, rh, doc_id, th, lo, n, o, data in zip(*columns):
+                j = 0
+                while j < n:
+                    block = (o - j) // step
+                    end = min(n, o - block * step + 1)  # starts of this block: place - block * step - (step - 1) to place - block * step
+                    core = data[o - block * step : o - block * step - step + 1 + length]
+                    piece = data[j : end - 1 + length]
+                    key = xxh3_64_intdigest(core, (h ^ block * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+                    own = xxh3_64_intdigest(piece, o - j)
+                    rows.append((key - (key >> 63 << 64), own - (own >> 63 << 64), doc_id, th, lo + j, end - j, o - j, piece, h, rh, j))
+                    j = end
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 11, kinds)], names=names)
+
+    return ranges.mapInArrow(run, "h long, rh long, doc_id long, th long, lo int, n short, o short, bytes binary, ph long, prh long, j short")
+
+
+_WHERE = ("doc_id", "th", "lo", "n", "o")
+
+
+def _where():
+    return F.struct(F.col("doc_id").isNotNull().alias("known"), *_WHERE)
+
+
+def _masks(ranges: DataFrame, length: int, steps: tuple[int, ...] = (8, 1)) -> DataFrame:
+    """Masks of distinct stretches; groups of over GROUP go on in narrower pieces, at last in single strings."""
+    small = _match_groups(ranges.where(F.col("k") <= GROUP), length)
+    large = ranges.where(F.col("k") > GROUP)
+    if not steps or large.isEmpty():
+        return small
+    full = F.lit(b"\xff")
+    pieces = stored(_narrow(large, length, steps[0]), "pieces")
+    kinds = stored(pieces.groupBy("h", "rh").agg(F.count("*").alias("c"), F.min(_where()).alias("at")), "kinds")
+    groups = kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    mixed = stored(kinds.join(groups, "h").select("h", "rh", "k", "at"), "mixed")
+    next_ = pieces.join(mixed, ["h", "rh"]).where(_where() == F.col("at")).select("h", "rh", "k", "lo", "n", "o", "doc_id", "th", "bytes")
+    inner = stored(_masks(stored(next_, "ranges"), length, steps[1:]), "inner")
+    inner = inner.groupBy("h", "rh").agg(F.max("other").alias("other"), F.max("earlier").alias("earlier"))
+    found = pieces.drop("bytes").join(stored(kinds.join(inner, ["h", "rh"], "left"), "judged"), ["h", "rh"])
+    other = F.when(F.col("c") > 1, full).otherwise(F.col("other"))
+    earlier = F.when(_where() != F.col("at"), full).otherwise(F.col("earlier"))
+    found = found.groupBy("ph", "prh").agg(F.collect_set(F.struct("j", "n", other.alias("other"), earlier.alias("earlier"))).alias("parts"))  # a stretch has 169 starts at most
+
+    def join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            other, earlier = [], []
-            for js in batch.column(2).to_pylist():
-                a, b = np.zeros(LENGTH, bool), np.zeros(LENGTH, bool)
-                for x in js:
-                    a[x["j"]], b[x["j"]] = True, x["later"]
-                other.append(_bits(a))
-                earlier.append(_bits(b))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(other, pa.binary()), pa.array(earlier, pa.binary())], names=["h", "rh", "other", "earlier"])
+            out: tuple[list, list] = ([], [])
+            for parts in batch.column(2).to_pylist():
+                for k, name in enumerate(("other", "earlier")):
+                    flags = np.zeros(length, bool)
+                    for p in parts:
+                        if p[name] is not None:
+                            flags[p["j"] : p["j"] + p["n"]] |= np.unpackbits(np.frombuffer(p[name], np.uint8), bitorder="little")[: p["n"]].astype(bool)
+                    out[k].append(_bits(flags))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(o, pa.binary()) for o in out]], names=["h", "rh", "other", "earlier"])
 
-    return found.mapInArrow(mask, _MASKS)
+    return small.unionByName(found.mapInArrow(join_parts, _MASKS))
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
@@ -190,8 +226,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, keep: str = "none") -
     held = stored(cut.join(twice, "h"), "held")
     drop_stored(cut, twice)
     spark.sparkContext._jvm.System.gc()  # lets go of the shuffle files of the large tables above
-    where = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", "lo", "n", "o")
-    kinds = stored(held.groupBy("h", "rh").agg(F.count("*").alias("c"), F.min(where).alias("at")), "kinds")
+    kinds = stored(held.groupBy("h", "rh").agg(F.count("*").alias("c"), F.min(_where()).alias("at")), "kinds")
     groups = stored(kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "groups")
     mixed = kinds.join(groups, "h").select("h", "rh", "k", F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"), F.col("at.lo").alias("lo"), F.col("at.n").alias("n"), F.col("at.o").alias("o"))
     asked = mixed.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "rh", "k", "lo", "n", "o")).alias("asked"))  # no more than the text has stretches
@@ -210,7 +245,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, keep: str = "none") -
 
     ranges = joined.mapInArrow(slices, "h long, rh long, k long, lo int, n short, o short, doc_id long, th long, bytes binary")
     ranges = stored(ranges, "ranges")
-    masks = _match_groups(ranges.where(F.col("k") <= GROUP), length).unionByName(_match_hashes(ranges.where(F.col("k") > GROUP), length))
+    masks = _masks(ranges, length)
     masks = stored(masks.groupBy("h", "rh").agg(F.max("other").alias("other"), F.max("earlier").alias("earlier")), "masks")
     drop_stored(ranges, asked, groups)
     spark.sparkContext._jvm.System.gc()
@@ -218,7 +253,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, keep: str = "none") -
     verdict = stored(kinds.join(masks, ["h", "rh"], "left").select("h", "rh", "c", "at", "other", "earlier"), "verdict")
     drop_stored(kinds, masks)
     me = held.join(verdict, ["h", "rh"])
-    first = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", "lo", "n", "o") == F.col("at")
+    first = _where() == F.col("at")
     if keep == "none":
         mask = F.when(F.col("c") > 1, full).otherwise(F.col("other"))
     else:
