@@ -32,7 +32,7 @@ from .sources import read_table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-COUNT = F.count(F.lit(1))
+count_ = lambda: F.count(F.lit(1))
 CENTS = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))  # noqa: E731  whole cents add up alike in any order
 SQL_CENTS = lambda c: f"CAST(sum(CAST(round({c} * 100) AS BIGINT)) AS BIGINT)"
 
@@ -53,63 +53,63 @@ def query(table: str, sql: str | None = None):
 
 @query("lineitem", f"SELECT {total('l_returnflag')}, {total('l_linestatus')}, CAST(sum(l_quantity) AS BIGINT) AS qty, GROUPING(l_returnflag) * 2 + GROUPING(l_linestatus) AS gid, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def rollup_basic(df):
-    return summarize_with_margins(df, {"qty": F.sum("l_quantity").cast("long"), "gid": grouping_id("l_returnflag", "l_linestatus").cast("long"), "n": COUNT}, grouping=rollup("l_returnflag", "l_linestatus"))
+    return summarize_with_margins(df, {"qty": F.sum("l_quantity").cast("long"), "gid": grouping_id("l_returnflag", "l_linestatus").cast("long"), "n": count_()}, grouping=rollup("l_returnflag", "l_linestatus"))
 
 
 @query("orders", f"SELECT {total('o_orderstatus')}, {total('o_orderpriority')}, count(*) AS n, {SQL_CENTS('o_totalprice')} AS cents FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def cube_basic(df):
-    return summarize_with_margins(df, n=COUNT, cents=CENTS("o_totalprice"), grouping=cube("o_orderstatus", "o_orderpriority"))
+    return summarize_with_margins(df, n=count_(), cents=CENTS("o_totalprice"), grouping=cube("o_orderstatus", "o_orderpriority"))
 
 
 @query("orders", f"SELECT {total('o_orderstatus')}, {total('o_orderpriority')}, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
 def grouping_sets_explicit(df):
-    return summarize_with_margins(df, n=COUNT, grouping=grouping_sets("o_orderstatus", "o_orderpriority", grouping_set()))
+    return summarize_with_margins(df, n=count_(), grouping=grouping_sets("o_orderstatus", "o_orderpriority", grouping_set()))
 
 
 @query("orders", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2")
 def single_set(df):
-    return summarize_with_margins(df, n=COUNT, grouping=grouping_set("o_orderstatus", "o_orderpriority"))
+    return summarize_with_margins(df, n=count_(), grouping=grouping_set("o_orderstatus", "o_orderpriority"))
 
 
 @query("orders", "SELECT count(*) AS n, max(o_orderkey) AS top FROM orders")
 def absent_grouping(df):
-    return summarize_with_margins(df, n=COUNT, top=F.max("o_orderkey"))
+    return summarize_with_margins(df, n=count_(), top=F.max("o_orderkey"))
 
 
 QUERIES["product_spec"] = lambda spark, d: summarize_with_margins(
-    read_table(spark, d, "lineitem").join(read_table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")), n=COUNT, qty=F.sum("l_quantity").cast("long"), grouping=grouping_spec(rollup("l_returnflag", "l_linestatus"), cube("o_orderstatus"))
+    read_table(spark, d, "lineitem").join(read_table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")), n=count_(), qty=F.sum("l_quantity").cast("long"), grouping=grouping_spec(rollup("l_returnflag", "l_linestatus"), cube("o_orderstatus"))
 )
 ORACLES["product_spec"] = f"SELECT {total('l_returnflag')}, {total('l_linestatus')}, {total('o_orderstatus')}, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ROLLUP (l_returnflag, l_linestatus), CUBE (o_orderstatus)"
 
 
 @query("lineitem", f"SELECT {total('l_returnflag')}, {total('l_linestatus')}, {total('l_linenumber')}, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus, l_linenumber), (l_returnflag, l_linestatus), ())")
 def composite_rollup(df):
-    return summarize_with_margins(df, n=COUNT, grouping=rollup(grouping_set("l_returnflag", "l_linestatus"), "l_linenumber"))
+    return summarize_with_margins(df, n=count_(), grouping=rollup(grouping_set("l_returnflag", "l_linestatus"), "l_linenumber"))
 
 
 @query("lineitem", f"SELECT {total('l_returnflag')}, {total('l_linestatus')}, {total('l_linenumber')}, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus, l_linenumber), (l_returnflag, l_linestatus), (l_linenumber), ())")
 def composite_cube(df):
-    return summarize_with_margins(df, n=COUNT, grouping=cube(grouping_set("l_returnflag", "l_linestatus"), "l_linenumber"))
+    return summarize_with_margins(df, n=count_(), grouping=cube(grouping_set("l_returnflag", "l_linestatus"), "l_linenumber"))
 
 
 @query("customer", f"SELECT {total('c_nationkey')}, {total('c_mktsegment')}, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_nationkey), (c_mktsegment), ())")
 def union_two_rollups_drop(df):
-    return summarize_with_margins(df, n=COUNT, grouping=grouping_sets(rollup("c_nationkey"), rollup("c_mktsegment")), duplicates="drop")
+    return summarize_with_margins(df, n=count_(), grouping=grouping_sets(rollup("c_nationkey"), rollup("c_mktsegment")), duplicates="drop")
 
 
 @query("customer", f"SELECT {total('c_nationkey')}, {total('c_mktsegment')}, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_nationkey), (c_mktsegment), ()) UNION ALL SELECT 'Total', 'Total', count(*) FROM customer")
 def union_two_rollups_keep(df):
-    return summarize_with_margins(df, n=COUNT, grouping=grouping_sets(rollup("c_nationkey"), rollup("c_mktsegment")), duplicates="keep")
+    return summarize_with_margins(df, n=count_(), grouping=grouping_sets(rollup("c_nationkey"), rollup("c_mktsegment")), duplicates="keep")
 
 
 @query("orders", f"SELECT o_orderstatus, {total('o_orderpriority')}, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus))")
 def fixed_by(df):
-    return summarize_with_margins(df, n=COUNT, by="o_orderstatus", grouping=rollup("o_orderpriority"))
+    return summarize_with_margins(df, n=count_(), by="o_orderstatus", grouping=rollup("o_orderpriority"))
 
 
 @query("customer", f"SELECT {total('c_mktsegment')}, {total('c_nationkey')}, CAST(GROUPING(c_nationkey) AS INTEGER) AS bit, CAST(GROUPING(c_nationkey) * 2 + GROUPING(c_mktsegment) AS INTEGER) AS swapped, CAST(count(*) * (1 + GROUPING(c_mktsegment)) AS BIGINT) AS weighted FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)")
 def bit_and_id(df):
-    return summarize_with_margins(df, bit=grouping_bit("c_nationkey"), swapped=grouping_id("c_nationkey", "c_mktsegment"), weighted=(1 + grouping_bit("c_mktsegment")) * COUNT, grouping=rollup("c_mktsegment", "c_nationkey"))
+    return summarize_with_margins(df, bit=grouping_bit("c_nationkey"), swapped=grouping_id("c_nationkey", "c_mktsegment"), weighted=(1 + grouping_bit("c_mktsegment")) * count_(), grouping=rollup("c_mktsegment", "c_nationkey"))
 
 
 _IDS = "CASE WHEN GROUPING(o_orderpriority) = 0 THEN 1 WHEN GROUPING(o_orderstatus) = 0 THEN 2 ELSE 3 END AS set_id"
@@ -117,57 +117,57 @@ _IDS = "CASE WHEN GROUPING(o_orderpriority) = 0 THEN 1 WHEN GROUPING(o_orderstat
 
 @query("orders", f"SELECT {total('o_orderstatus')}, {total('o_orderpriority')}, {_IDS}, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 def occurrence_id(df):
-    return summarize_with_margins(df, n=COUNT, grouping=rollup("o_orderstatus", "o_orderpriority"), id="set_id")
+    return summarize_with_margins(df, n=count_(), grouping=rollup("o_orderstatus", "o_orderpriority"), id="set_id")
 
 
 @query("orders", "SELECT o_orderstatus, 1 AS set_id, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT 'Total', 2, count(*) FROM orders UNION ALL SELECT o_orderstatus, 3, count(*) FROM orders GROUP BY 1 UNION ALL SELECT 'Total', 4, count(*) FROM orders")
 def occurrence_id_keep(df):
-    return summarize_with_margins(df, n=COUNT, grouping=grouping_sets(rollup("o_orderstatus"), rollup("o_orderstatus")), id="set_id", duplicates="keep")
+    return summarize_with_margins(df, n=count_(), grouping=grouping_sets(rollup("o_orderstatus"), rollup("o_orderstatus")), id="set_id", duplicates="keep")
 
 
 @query("customer", "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ROLLUP (c_nationkey, c_mktsegment)")
 def null_label(df):
-    return summarize_with_margins(df, n=COUNT, grouping=rollup("c_nationkey", "c_mktsegment"), margin_label=None)
+    return summarize_with_margins(df, n=count_(), grouping=rollup("c_nationkey", "c_mktsegment"), margin_label=None)
 
 
 @query("customer", "SELECT CASE WHEN GROUPING(c_nationkey) = 1 THEN 'All nations' ELSE CAST(c_nationkey AS VARCHAR) END AS c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ROLLUP (c_nationkey, c_mktsegment)")
 def named_labels(df):
-    return summarize_with_margins(df, n=COUNT, grouping=rollup("c_nationkey", "c_mktsegment"), margin_label={"c_nationkey": "All nations", "c_mktsegment": None})
+    return summarize_with_margins(df, n=count_(), grouping=rollup("c_nationkey", "c_mktsegment"), margin_label={"c_nationkey": "All nations", "c_mktsegment": None})
 
 
 @query("events", "SELECT CASE WHEN GROUPING(kind) = 1 THEN 'Total' ELSE kind END AS kind, CAST(GROUPING(kind) AS INTEGER) AS bit, count(*) AS n FROM (SELECT nullif(event_type, 'click') AS kind FROM events) GROUP BY ROLLUP (kind)")
 def null_vs_total(df):
-    return summarize_with_margins(df.withColumn("kind", F.nullif("event_type", F.lit("click"))), bit=grouping_bit("kind"), n=COUNT, grouping=rollup("kind"))
+    return summarize_with_margins(df.withColumn("kind", F.nullif("event_type", F.lit("click"))), bit=grouping_bit("kind"), n=count_(), grouping=rollup("kind"))
 
 
 for _place in ("last", "first"):
-    QUERIES[f"sort_{_place}"] = lambda spark, d, place=_place: summarize_with_margins(read_table(spark, d, "orders"), n=COUNT, grouping=rollup("o_orderstatus", "o_orderpriority"), sort=place)
+    QUERIES[f"sort_{_place}"] = lambda spark, d, place=_place: summarize_with_margins(read_table(spark, d, "orders"), n=count_(), grouping=rollup("o_orderstatus", "o_orderpriority"), sort=place)
     ORACLES[f"sort_{_place}"] = f"SELECT {total('o_orderstatus')}, {total('o_orderpriority')}, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)"
 
 
 @query("orders", "SELECT CASE WHEN GROUPING(o_orderpriority) = 1 THEN 'Total' ELSE o_orderpriority END AS o_orderpriority, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM orders), 9) AS share FROM orders GROUP BY ROLLUP (o_orderpriority)")
 def share_total(df):
-    return summarize_with_margins(df, n=COUNT, share=share_of_total("n"), grouping=rollup("o_orderpriority")).withColumn("share", F.round("share", 9))
+    return summarize_with_margins(df, n=count_(), share=share_of_total("n"), grouping=rollup("o_orderpriority")).withColumn("share", F.round("share", 9))
 
 
 @query("orders", f"WITH g AS (SELECT o_orderstatus, {total('o_orderpriority')}, count(*) AS n, GROUPING(o_orderpriority) AS b FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus))) SELECT g.o_orderstatus, g.o_orderpriority, g.n, round(g.n::DOUBLE / t.n, 9) AS share FROM g JOIN g t ON t.b = 1 AND g.o_orderstatus IS NOT DISTINCT FROM t.o_orderstatus")
 def share_total_by(df):
-    return summarize_with_margins(df, n=COUNT, share=share_of_total("n"), by="o_orderstatus", grouping=rollup("o_orderpriority")).withColumn("share", F.round("share", 9))
+    return summarize_with_margins(df, n=count_(), share=share_of_total("n"), by="o_orderstatus", grouping=rollup("o_orderpriority")).withColumn("share", F.round("share", 9))
 
 
 @query("orders", f"SELECT {total('o_orderstatus')}, {total('o_orderpriority')}, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM orders), 9) AS share FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def share_total_cube(df):
-    return summarize_with_margins(df, n=COUNT, share=share_of_total("n"), grouping=cube("o_orderstatus", "o_orderpriority")).withColumn("share", F.round("share", 9))
+    return summarize_with_margins(df, n=count_(), share=share_of_total("n"), grouping=cube("o_orderstatus", "o_orderpriority")).withColumn("share", F.round("share", 9))
 
 
 @query("customer", f"WITH g AS (SELECT c_nationkey AS a, c_mktsegment AS b, GROUPING(c_nationkey) AS ga, GROUPING(c_mktsegment) AS gb, count(*) AS n FROM customer GROUP BY ROLLUP (c_nationkey, c_mktsegment)) SELECT CASE WHEN g.ga = 1 THEN 'Total' ELSE CAST(g.a AS VARCHAR) END AS c_nationkey, CASE WHEN g.gb = 1 THEN 'Total' ELSE g.b END AS c_mktsegment, g.n, round(CASE WHEN g.ga = 1 THEN 1 ELSE g.n::DOUBLE / p.n END, 9) AS share FROM g LEFT JOIN g p ON p.gb = 1 AND p.ga = g.gb AND (g.gb = 1 OR p.a IS NOT DISTINCT FROM g.a)")
 def share_parent(df):
-    return summarize_with_margins(df, n=COUNT, share=share_of_parent("n"), grouping=rollup("c_nationkey", "c_mktsegment")).withColumn("share", F.round("share", 9))
+    return summarize_with_margins(df, n=count_(), share=share_of_parent("n"), grouping=rollup("c_nationkey", "c_mktsegment")).withColumn("share", F.round("share", 9))
 
 
 QUERIES["share_parent_3level"] = lambda spark, d: summarize_with_margins(
     read_table(spark, d, "customer").join(read_table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")),
-    n=COUNT, share=share_of_parent("n"), grouping=rollup("r_name", "n_name", "c_mktsegment"),
+    n=count_(), share=share_of_parent("n"), grouping=rollup("r_name", "n_name", "c_mktsegment"),
 ).withColumn("share", F.round("share", 9))
 ORACLES["share_parent_3level"] = f"""
 WITH g AS (SELECT r_name AS a, n_name AS b, c_mktsegment AS c, GROUPING(r_name) + GROUPING(n_name) + GROUPING(c_mktsegment) AS lvl, count(*) AS n
@@ -184,12 +184,12 @@ SELECT CASE WHEN g.lvl = 2 THEN 'Total' ELSE g.a END AS l_returnflag, CASE WHEN
   g.n, round(CASE WHEN g.lvl = 2 THEN 1 ELSE g.n::DOUBLE / p.n END, 9) AS share
 FROM g LEFT JOIN g p ON p.lvl = g.lvl + 1 AND (p.lvl = 2 OR (p.a = g.a AND p.b = g.b))""")
 def share_parent_composite(df):
-    return summarize_with_margins(df, n=COUNT, share=share_of_parent("n"), grouping=rollup(grouping_set("l_returnflag", "l_linestatus"), "l_linenumber")).withColumn("share", F.round("share", 9))
+    return summarize_with_margins(df, n=count_(), share=share_of_parent("n"), grouping=rollup(grouping_set("l_returnflag", "l_linestatus"), "l_linenumber")).withColumn("share", F.round("share", 9))
 
 
 @query("orders", f"WITH g AS (SELECT o_orderstatus, {total('o_orderpriority')}, count(*) AS n, GROUPING(o_orderpriority) AS b FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus))) SELECT g.o_orderstatus, g.o_orderpriority, g.n, round(g.n::DOUBLE / t.n, 9) AS share FROM g JOIN g t ON t.b = 1 AND g.o_orderstatus IS NOT DISTINCT FROM t.o_orderstatus")
 def share_parent_by(df):
-    return summarize_with_margins(df, n=COUNT, share=share_of_parent("n"), by="o_orderstatus", grouping=rollup("o_orderpriority")).withColumn("share", F.round("share", 9))
+    return summarize_with_margins(df, n=count_(), share=share_of_parent("n"), by="o_orderstatus", grouping=rollup("o_orderpriority")).withColumn("share", F.round("share", 9))
 
 
 @query("customer", f"WITH c AS (SELECT c_mktsegment, c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 0 WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE 1 END AS v FROM customer), g AS (SELECT c_mktsegment AS a, c_nationkey AS b, GROUPING(c_mktsegment) + GROUPING(c_nationkey) AS lvl, CAST(sum(v) AS BIGINT) AS n FROM c GROUP BY ROLLUP (c_mktsegment, c_nationkey)) SELECT CASE WHEN g.lvl = 2 THEN 'Total' ELSE g.a END AS c_mktsegment, CASE WHEN g.lvl >= 1 THEN 'Total' ELSE CAST(g.b AS VARCHAR) END AS c_nationkey, g.n, round(CASE WHEN g.lvl = 2 THEN 1 WHEN p.n = 0 THEN NULL ELSE g.n::DOUBLE / p.n END, 9) AS share FROM g LEFT JOIN g p ON p.lvl = g.lvl + 1 AND (p.lvl = 2 OR p.a = g.a)")
@@ -205,7 +205,7 @@ def across_multi(df):
 
 @query("lineitem", f"SELECT {total('l_returnflag')}, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines, round(count(*)::DOUBLE / (SELECT count(*) FROM lineitem), 9) AS n_part, round(sum(l_linenumber)::DOUBLE / (SELECT sum(l_linenumber) FROM lineitem), 9) AS lines_part FROM lineitem GROUP BY ROLLUP (l_returnflag)")
 def across_share(df):
-    out = summarize_with_margins(df, {"n": COUNT, "lines": F.sum("l_linenumber")}, share_across(["n", "lines"], "total", "{col}_part"), grouping=rollup("l_returnflag"))
+    out = summarize_with_margins(df, {"n": count_(), "lines": F.sum("l_linenumber")}, share_across(["n", "lines"], "total", "{col}_part"), grouping=rollup("l_returnflag"))
     return out.withColumns({"n_part": F.round("n_part", 9), "lines_part": F.round("lines_part", 9)})
 
 
@@ -218,7 +218,7 @@ def expand_rows(df):
 def expand_then_window(df):
     rows = expand_with_margins(df, grouping=rollup("c_mktsegment"))
     rows = rows.withColumn("mean", F.avg("c_acctbal").over(Window.partitionBy("c_mktsegment")))
-    return rows.groupBy("c_mktsegment").agg(COUNT.alias("n"), F.count(F.when(F.col("c_acctbal") > F.col("mean"), 1)).alias("above"))
+    return rows.groupBy("c_mktsegment").agg(count_().alias("n"), F.count(F.when(F.col("c_acctbal") > F.col("mean"), 1)).alias("above"))
 
 
 @query("customer", f"SELECT {total('c_mktsegment')}, {total('c_nationkey')}, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS ids FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)")
@@ -251,12 +251,12 @@ def inspect_cube(df):
 
 @query("orders", f"SELECT {total('o_orderstatus')}, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE false GROUP BY ROLLUP (o_orderstatus)")
 def empty_input_total(df):
-    return summarize_with_margins(df.where("o_orderkey < 0"), n=COUNT, keys=F.sum("o_orderkey"), grouping=rollup("o_orderstatus"))
+    return summarize_with_margins(df.where("o_orderkey < 0"), n=count_(), keys=F.sum("o_orderkey"), grouping=rollup("o_orderstatus"))
 
 
 @query("orders", f"SELECT o_orderstatus, {total('o_orderpriority')}, count(*) AS n FROM orders WHERE false GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus))")
 def empty_input_by(df):
-    return summarize_with_margins(df.where("o_orderkey < 0"), n=COUNT, by="o_orderstatus", grouping=rollup("o_orderpriority"))
+    return summarize_with_margins(df.where("o_orderkey < 0"), n=count_(), by="o_orderstatus", grouping=rollup("o_orderpriority"))
 
 
 @query("lineitem", f"SELECT {total('l_returnflag')}, {total('l_linestatus')}, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -271,4 +271,4 @@ def percentile_margins(df):
 
 @query("orders", f"SELECT {total('year')}, {total('o_orderstatus')}, count(*) AS n FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus FROM orders) GROUP BY ROLLUP (year, o_orderstatus)")
 def derived_dimension_explode(df):
-    return summarize_with_margins(df.withColumn("year", F.year("o_orderdate")), n=COUNT, grouping=rollup("year", "o_orderstatus"), method="explode")
+    return summarize_with_margins(df.withColumn("year", F.year("o_orderdate")), n=count_(), grouping=rollup("year", "o_orderstatus"), method="explode")
