@@ -12,9 +12,14 @@ from manygrain.llm.common import stored, table
 from manygrain.llm.tokens import default_vocabulary
 
 
+def _slim(docs: DataFrame, *columns: str) -> DataFrame:
+    """What an operator needs, with the whole row beside it: columns of any name pass untouched."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[docs[c] for c in columns])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.judged(docs).where("_kept").select(*docs.columns)
+    return quality.judged(_slim(docs, "text")).where("_kept").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,14 +29,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts replaced by its kind; n_chars follows."""
-    out = private.redact(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    done = private.redact(_slim(docs, "doc_id", "text"))
+    return done.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    mixed = mixing.mix(docs).where("_copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    mixed = mixing.mix(_slim(docs, "doc_id", "text", "source")).where("_copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

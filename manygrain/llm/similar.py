@@ -98,4 +98,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     again = stored(again, "again")
     if again.isEmpty():
         return left
-    return left.join(again, left["doc_id"] == again["_id"], "left_anti").unionByName(left.join(again, left["doc_id"] == again["_id"], "left_semi").dropDuplicates())
+    return left.join(again, left["doc_id"] == again["_id"], "left_anti").unionByName(left.join(again, left["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id", "text"]))
