@@ -28,7 +28,7 @@ RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
     ("word_length", "mean_word_chars", 2.0, 15.0),
     ("symbols", "symbol_ratio", None, 0.1),
     ("stop_words", "n_stop_words", 2.0, None),
-    ("repeated_lines", "dup_line_ratio", None, 0.3),
+    ("repeated_lines", "dup_line_ratio", None, 0.3),  # by characters: one short line twice among three is no fault
     ("pipes_and_bullets", "bullet_line_ratio", None, 0.9),
 )
 
@@ -67,7 +67,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
     def of_lines(lines: Column) -> Column:
         bullets = F.filter(lines, lambda x: F.rlike(x, F.lit(r"^\s*[-*•|]")))
-        return F.struct(long(F.size(lines)).alias("n_lines"), long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"), long(F.size(bullets)).alias("n_bullets"))
+        return F.struct(long(F.size(lines)).alias("n_lines"), long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"), long(F.size(bullets)).alias("n_bullets"), long(F.length(F.array_join(lines, ""))).alias("line_chars"), long(F.length(F.array_join(F.array_distinct(lines), ""))).alias("distinct_chars"))
 
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(WORD)))
     chars = F.struct(
@@ -80,7 +80,7 @@ def measured(docs: DataFrame) -> DataFrame:
         words, rows = F.greatest(w["n_words"], F.lit(1)), F.greatest(l["n_lines"], F.lit(1))
         return F.struct(
             w["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"), l["n_dup_lines"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"),
-            w["n_stop_words"].alias("n_stop_words"), (c["word_chars"] / words).alias("mean_word_chars"), (c["n_symbols"] / words).alias("symbol_ratio"), (l["n_dup_lines"] / rows).alias("dup_line_ratio"), (l["n_bullets"] / rows).alias("bullet_line_ratio"),
+            w["n_stop_words"].alias("n_stop_words"), (c["word_chars"] / words).alias("mean_word_chars"), (c["n_symbols"] / words).alias("symbol_ratio"), ((l["line_chars"] - l["distinct_chars"]) / F.greatest(l["line_chars"], F.lit(1))).alias("dup_line_ratio"), (l["n_bullets"] / rows).alias("bullet_line_ratio"),
         )
 
     parts = F.struct(bound(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of_words).alias("w"), bound(lines, of_lines).alias("l"), chars.alias("c"))
@@ -133,12 +133,13 @@ m AS (
   SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+    length(array_to_string(lines, '')) AS line_chars, length(array_to_string(list_distinct(lines), '')) AS distinct_chars,
     len(list_filter(lines, lambda x: regexp_matches(x, '^\s*[-*•|]'))) AS n_bullets,
     len(list_intersect([{stops}], list_transform(words, lambda x: lower(x)))) AS n_stop_words
   FROM w LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars / greatest(n_words, 1) BETWEEN 2 AND 15 AND n_symbols / greatest(n_words, 1) <= 0.1 AND n_stop_words >= 2
-    AND n_dup_lines / greatest(n_lines, 1) <= 0.3 AND n_bullets / greatest(n_lines, 1) <= 0.9 AS kept
+    AND (line_chars - distinct_chars) / greatest(line_chars, 1) <= 0.3 AND n_bullets / greatest(n_lines, 1) <= 0.9 AS kept
 FROM f
 """.replace("{stops}", ", ".join(f"'{s}'" for s in STOP_WORDS))

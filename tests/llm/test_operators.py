@@ -194,6 +194,10 @@ def test_quality(docs, none):
         lines = [x for x in (r.text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         assert (r._m.n_words, r._m.n_repeat_words, r._m.n_dup_lines, r._m.word_chars) == (len(words), len(hit), len(lines) - len(set(lines)), sum(map(len, words)))
         assert r._base_failed == (len(words) < 50 or 100 * len(hit) > 50 * len(words)) and not (r._kept and r._base_failed)
+    prose = " ".join(f"the w{k} of" for k in range(60))
+    cases = [(1, f"short line\n{prose}\nshort line", True), (2, "\n".join([prose[:200], prose[200:], *[f"no {k}" for k in range(3)], *[prose[:200]] * 2]), False), (3, prose.replace("w", "#$%&"), False), (4, prose.replace("the", "xx").replace("of", "yy"), False)]
+    rows = quality.judged(docs.sparkSession.createDataFrame([c[:2] for c in cases], "doc_id long, text string")).collect()
+    assert {r.doc_id: r._kept for r in rows} == {k: kept for k, _, kept in cases}
 
 
 def test_vectors(spark, monkeypatch):
