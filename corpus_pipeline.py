@@ -53,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: XXH64, min-wise hashes and byte-pair encoding have no SQL here: tests/llm holds the stages against brute force.
+#: XXH64, min-wise hashes and byte-pair encoding have no SQL here: tests/llm holds each operator against brute force and the stages in a row on examples.
 ORACLE_SQL = None
 
 

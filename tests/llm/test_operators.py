@@ -220,6 +220,24 @@ def test_similar(docs, none):
     assert ids.count(6) == 1 and 8 not in ids and ids.count(None) == 2 and {3, 4, 5, 9, 10, 11} <= set(ids) and not {1, 2} & set(ids)
 
 
+def test_similar_brute_force(spark):
+    rng = np.random.default_rng(4)
+    texts = {}
+    for k in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        texts[10 * k] = " ".join(words)
+        for c in range(k % 4):
+            near = list(words)
+            near[int(rng.integers(0, 200))] = f"new{k}_{c}"
+            texts[10 * k + 1 + c] = " ".join(near)
+        texts[10 * k + 9] = " ".join(words[:100] + [f"w{x}" for x in rng.integers(0, 5000, 100)])
+    ids = sorted(texts)
+    grams = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in ((k, t.split()) for k, t in texts.items())}
+    root = brute_components(len(ids), lambda a, b: len(grams[ids[a]] & grams[ids[b]]) >= 0.8 * len(grams[ids[a]] | grams[ids[b]]))
+    got = similar.keep_one(spark.createDataFrame([(k, t, "en", "s0", len(t), "m", 1, 2) for k, t in texts.items()], SCHEMA)).collect()
+    assert sorted(r.doc_id for r in got) == sorted({ids[r] for r in root})
+
+
 def test_pipeline(docs, none, spark):
     import corpus_pipeline
 
