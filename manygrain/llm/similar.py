@@ -4,7 +4,9 @@ At that similarity two 64-bit SimHash fingerprints differ in some ten bits, a ra
 no triangle bound prunes (random fingerprints differ in 32 +- 4). So fingerprints link within
 RADIUS bits through the vantage-point trees, and texts further apart meet by min-wise hashes
 of the same shingles: TABLES tables of ROWS hashes miss a pair at the threshold with
-probability (1 - 0.8^ROWS)^TABLES = 0.0006, and HASHES of them estimate the similarity.
+probability (1 - 0.8^ROWS)^TABLES = 0.0006. Both only name candidates, as does the estimate from
+HASHES hashes, which drops pairs under SKETCH. Texts that candidates connect are compared by all
+their distinct shingles, so what links has a similarity of SIMILARITY or more.
 """
 
 from __future__ import annotations
@@ -21,18 +23,25 @@ from .simhash import LOWER, fingerprint, link_fingerprints
 from .vectors import link_buckets
 
 WIDTH, SIMILARITY, RADIUS, ROWS, TABLES, HASHES = 5, 0.8, 2, 3, 10, 128
+#: Estimates under SKETCH are no candidates (4 standard errors under SIMILARITY); texts compared at once; shingles counted at once.
+SKETCH, CHUNK, COLUMNS = 0.65, 256, 4096
 _RNG = np.random.default_rng(13)
 _A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 
-def signature(text: str | None, width: int = WIDTH) -> bytes:
-    """The least of each of HASHES hashes over a text's distinct shingles (32 bits each)."""
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The hashes of a text's distinct shingles, one of the empty text where there is no word."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().translate(LOWER).split()
     grams = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
-    h = np.array([xxh64_intdigest(g, 42) for g in grams], np.uint64)
+    return np.array([xxh64_intdigest(g, 42) for g in grams], np.uint64)
+
+
+def signature(text: str | None, width: int = WIDTH) -> bytes:
+    """The least of each of HASHES hashes over a text's distinct shingles (32 bits each)."""
+    h = shingles(text, width)
     least = np.full(HASHES, np.uint32(0xFFFFFFFF))
     for at in range(0, len(h), 1024):
         some = (h[None, at : at + 1024] * _A[:, None] + _B[:, None]) >> np.uint64(32)
@@ -68,11 +77,49 @@ def _load(vec: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(vec.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
-def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     same = np.zeros((len(x), len(y)), np.int16)
     for k in range(HASHES):
         same += x[:, None, k] == y[None, :, k]
-    return same >= SIMILARITY * HASHES
+    return same >= SKETCH * HASHES
+
+
+def _shingled(texts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingles(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["bucket", "node", "vec"])
+
+    return texts.select("bucket", "node", "text").mapInArrow(run, "bucket long, node long, vec binary")
+
+
+def _sets(vec: pa.Array) -> np.ndarray:
+    return vec.to_numpy(zero_copy_only=False)
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pairs at SIMILARITY or more; common shingles are counted by products of 0-1 matrices."""
+    sets = [np.frombuffer(v, np.uint64) for v in (*x, *y)]
+    size = np.array([len(s) for s in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code)
+    code, row = code[order], np.repeat(np.arange(len(sets)), size)[order]
+    common = np.zeros((len(x), len(y)))
+    for at in range(0, int(code[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(code, (at, at + COLUMNS))
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[row[a:b], code[a:b] - at] = 1
+        common += held[: len(x)] @ held[len(x) :].T
+    union = size[: len(x), None] + size[None, len(x) :] - common
+    return common >= SIMILARITY * union - 1e-6  # counts are whole numbers
+
+
+def _verified(docs: DataFrame, classes: DataFrame, maybe: DataFrame) -> DataFrame:
+    """Edges that connect the classes within a component of ``maybe`` whose texts are at SIMILARITY or more."""
+    members = stored(classes.join(maybe, "node").select("node", "th", F.col("component").alias("bucket")), "members")
+    texts = docs.select(F.col("doc_id").alias("node"), "text", F.xxhash64("text").alias("th")).join(members, ["node", "th"])
+    texts = texts.groupBy("node", "th", "bucket").agg(F.first("text").alias("text"))  # equal texts: repeated rows count once
+    return link_buckets(stored(_shingled(texts), "shingles"), _sets, _near, CHUNK)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -82,14 +129,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     of each other. Rows with equal doc_id but different texts share a node: they stay or go together.
     """
     signed = stored(_signed(docs), "signed")
-    classes = signed.where("doc_id is not null").groupBy("fp", "vec").agg(F.min("doc_id").alias("node"))
-    classes = stored(classes, "classes")
+    classes = signed.where("doc_id is not null").groupBy("fp", "vec").agg(F.min(F.struct("doc_id", "th")).alias("least"))
+    classes = stored(classes.select("fp", "vec", F.col("least.doc_id").alias("node"), "least.th"), "classes")
     reps = stored(classes.groupBy("fp").agg(F.min("node").alias("node")), "reps")
     equal = classes.join(reps.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
     banded = stored(_banded(classes), "banded")
     met = banded.join(banded.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket")
     tables = met.join(classes.groupBy("node").agg(F.first("vec").alias("vec")), "node").select("bucket", "node", "vec")
-    edges = link_fingerprints(reps, RADIUS).unionByName(equal).unionByName(link_buckets(tables, _load, _near, 256))
+    maybe = link_fingerprints(reps, RADIUS).unionByName(equal).unionByName(link_buckets(tables, _load, _alike, CHUNK))
+    edges = _verified(docs, classes, stored(connected_components(maybe), "maybe"))
     gone = stored(connected_components(edges).where("node <> component").select("node"), "gone")
     copies = signed.where("doc_id is not null").join(classes, ["fp", "vec"]).where("doc_id <> node").select(F.col("doc_id").alias("node"))
     gone = stored(gone.unionByName(copies).distinct(), "gone")

@@ -238,6 +238,19 @@ def test_similar_brute_force(spark):
     assert sorted(r.doc_id for r in got) == sorted({ids[r] for r in root})
 
 
+def test_similar_at_the_limit(spark):
+    """Pairs at 0.78 to 0.85: the shingles decide, not their estimate."""
+    rng, rows, want = np.random.default_rng(6), [], []
+    for k in range(63):
+        words, m = [f"w{x}" for x in rng.integers(0, 5000, 200)], 16 + k % 9
+        a, b = " ".join(words), " ".join(words[:-m] + [f"new{k}_{x}" for x in range(m)])
+        one, two = ({tuple(t.split()[i : i + 5]) for i in range(196)} for t in (a, b))
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        want += [2 * k] if len(one & two) >= 0.8 * len(one | two) else [2 * k, 2 * k + 1]
+    got = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == want and 70 < len(want) < 120
+
+
 def test_pipeline(docs, none, spark):
     import corpus_pipeline
 
