@@ -1,11 +1,12 @@
 """Operator 6: personal data by patterns of form, then bootstrapped patterns of context.
 
 Base entities (email, ip, card, phone) come from their forms. They seed a graph: a pattern is a
-kind with the two words to the left; its instances are the entities and identifier-like tokens
-found there. A pattern's score is the share of its distinct instances believed to be of its kind,
+kind with the two words to the left; its instances are the entities found there and what looks
+like an identifier of the kind (LIKE): tokens with an at-like sign, digit groups joined by dots or
+colons, whole runs of digit groups, and for every kind tokens of MIN_DIGITS digits or more. A pattern's score is the share of its distinct instances believed to be of its kind,
 an instance's belief the noisy-or of its patterns; both are recomputed over the whole corpus for a
-few rounds. Patterns scored ``ACCEPT`` or more on ``SUPPORT`` seeds or more add the unseen tokens
-that they lead to.
+few rounds. Patterns scored ``ACCEPT`` or more on ``SUPPORT`` seeds or more add the unseen
+instances of their kind that they lead to.
 """
 
 from __future__ import annotations
@@ -28,6 +29,16 @@ FORMS = {
 }
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 TOKEN = rf"(?<![^\x20\x09-\x0D])(?=(?:[^\x20\x09-\x0D0-9]*+[0-9]){{{MIN_DIGITS}}})[^\x20\x09-\x0D]++"
+_START, _OPEN = r"(?<![^\x20\x09-\x0D])", r"(?<![^\x20\x09-\x0D\"'(\[<{=:])"
+_AT = r"(?:[@\uFF20\uFE6B]|&#64;|%40|[(\[{<_-](?i:at)[)\]}>_-])"
+_GROUP = r"[0-9]++(?![\p{L}_@%])"
+#: What an accepted pattern may add: the kinds (bits by place in KINDS), a form, and whether signs around it are cut off.
+LIKE = [
+    (0b1111, TOKEN, True),
+    (0b0001, rf"{_START}(?:[^\x20\x09-\x0D]++\x20{_AT}\x20[^\x20\x09-\x0D]++|(?=[^\x20\x09-\x0D]+?{_AT}[^\x20\x09-\x0D])[^\x20\x09-\x0D]++)", True),
+    (0b0010, rf"{_OPEN}(?=[A-Fa-f.:]*+[0-9])[0-9A-Fa-f]*+(?:[.:]++[0-9A-Fa-f]*+)++(?![^\x20\x09-\x0D\"')\]>}},;!?|])", True),
+    (0b1100, rf"{_OPEN}\+?\(?{_GROUP}(?:(?:\)?[\x20.\x2F-]?\(?|\)?\x20[-.\x2F]\x20\(?){_GROUP})*+", False),
+]
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _SPAN = "array<struct<s:int,e:int,v:string>>"
 
@@ -97,22 +108,27 @@ def left_words(text: Column, start: Column) -> Column:
 
 
 def found_in(docs: DataFrame) -> DataFrame:
-    """doc_id, th (a hash of the text), base (s, k, e) and seen (s, e, k or null, context, value) of each row."""
+    """doc_id, th (a hash of the text), base (s, k, e) and seen (s, e, k or null, context, value, kinds it may be of) of each row."""
     text = F.coalesce("text", F.lit(""))
 
-    def tokens(base: Column) -> Column:
-        trimmed = F.transform(
-            occurrences(text, TOKEN),
-            lambda o: bound(F.length(F.regexp_extract(o["v"], r"^[\"'(\[<{=:]*+", 0)), lambda a: F.struct(
-                (o["s"] + a).alias("s"), F.greatest(o["s"] + a, o["e"] - F.length(F.regexp_extract(o["v"], r"[\"')\]>},.;:!?|]*$", 0))).alias("e"))),
-        )
-        return F.filter(trimmed, lambda o: (o["e"] > o["s"]) & ~F.exists(base, lambda b: (b["s"] < o["e"]) & (b["e"] > o["s"])))
+    none = F.expr("cast(array() as array<struct<s:int,e:int,t:int>>)")
+
+    def cut(o: Column) -> Column:
+        return bound(F.length(F.regexp_extract(o["v"], r"^[\"'(\[<{=:]*+", 0)), lambda a: F.struct(
+            (o["s"] + a).alias("s"), F.greatest(o["s"] + a, o["e"] - F.length(F.regexp_extract(o["v"], r"[\"')\]>},.;:!?|]*$", 0))).alias("e")))
+
+    def of_form(t: int, form: str, trim: bool) -> Column:
+        typed = lambda o: F.struct(o["s"].alias("s"), o["e"].alias("e"), F.lit(t).alias("t"))
+        found = F.transform(occurrences(text, form), lambda o: bound(cut(o), typed) if trim else typed(o))
+        return F.when(F.rlike(text, F.lit(form)), found).otherwise(none)
+
+    def unseen(base: Column) -> Column:
+        return F.filter(F.concat(*[of_form(*x) for x in LIKE]), lambda o: (o["e"] > o["s"]) & ~F.exists(base, lambda b: (b["s"] < o["e"]) & (b["e"] > o["s"])))
 
     def both(base: Column) -> Column:
-        seeds = F.transform(base, lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), b["k"].alias("k"), left_words(text, b["s"]).alias("c"), F.xxhash64(F.lower(b["v"])).alias("v")))
-        more = F.when(F.rlike(text, F.lit(TOKEN)), F.transform(tokens(base), lambda o: F.struct(
-            o["s"].alias("s"), o["e"].alias("e"), F.lit(None).cast("int").alias("k"), left_words(text, o["s"]).alias("c"), F.xxhash64(F.lower(F.substr(text, o["s"] + 1, o["e"] - o["s"]))).alias("v"))),
-        ).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,k:int,c:string,v:bigint>>)"))
+        seeds = F.transform(base, lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), b["k"].alias("k"), left_words(text, b["s"]).alias("c"), F.xxhash64(F.lower(b["v"])).alias("v"), F.lit(0b1111).alias("t")))
+        more = F.transform(unseen(base), lambda o: F.struct(
+            o["s"].alias("s"), o["e"].alias("e"), F.lit(None).cast("int").alias("k"), left_words(text, o["s"]).alias("c"), F.xxhash64(F.lower(F.substr(text, o["s"] + 1, o["e"] - o["s"]))).alias("v"), o["t"].alias("t")))
         return F.struct(F.transform(base, lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e"))).alias("base"), F.filter(F.concat(seeds, more), lambda o: o["c"].isNotNull()).alias("seen"))
 
     rows = docs.select("doc_id", F.xxhash64(F.lit(1), "text").alias("th"), bound(base_spans(text), both).alias("x"))
@@ -122,10 +138,11 @@ def found_in(docs: DataFrame) -> DataFrame:
 def believed(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Accepted unseen instances: doc_id, th, s, k, e."""
     seen = found.select("doc_id", "th", F.explode("seen").alias("o")).select("doc_id", "th", "o.*")
-    links = stored(seen.groupBy("c", "v").agg(F.max("k").alias("k")), "links")  # one row per pattern context and value
+    links = stored(seen.groupBy("c", "v").agg(F.max("k").alias("k"), F.bit_or("t").alias("t")), "links")  # one row per pattern context and value
     support = links.where("k is not null").groupBy("c", "k").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SUPPORT)
     support = stored(support.withColumnRenamed("k", "pk"), "support")
-    edges = stored(links.join(support, "c").select("c", "v", "pk", F.when(F.col("k").isNotNull(), (F.col("k") == F.col("pk")).cast("double")).alias("sure")), "edges")
+    fits = F.expr("t & shiftleft(1, pk)") != 0  # a seed fits every kind: it counts against the others
+    edges = stored(links.join(support, "c").where(fits).select("c", "v", "pk", F.when(F.col("k").isNotNull(), (F.col("k") == F.col("pk")).cast("double")).alias("sure")), "edges")
     belief = edges.groupBy("v", "pk").agg(F.coalesce(F.max("sure"), F.lit(0.0)).alias("b"))
     for _ in range(rounds):
         belief = stored(belief, "belief")
@@ -134,7 +151,7 @@ def believed(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         noisy = F.lit(1.0) - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))
         belief = edges.join(score, ["c", "pk"]).groupBy("v", "pk").agg(F.coalesce(F.max("sure"), noisy).alias("b"))
     strong = score.where(F.col("score") >= ACCEPT).groupBy("c").agg(F.max_by("pk", F.struct("score", -F.col("pk"))).alias("pk"))
-    return seen.where("k is null").join(strong, "c").select("doc_id", "th", "s", F.col("pk").alias("k"), "e")
+    return seen.where("k is null").join(strong, "c").where(fits).select("doc_id", "th", "s", F.col("pk").alias("k"), "e")
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
@@ -144,7 +161,7 @@ def all_spans(docs: DataFrame) -> DataFrame:
     have equal spans, and a null doc_id is an id like any other.
     """
     found = stored(found_in(docs), "found")
-    added = believed(found).groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "k", "e")).alias("added"))  # no more than the text has tokens
+    added = believed(found).groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "k", "e")).alias("added"))  # a few for each token of the text at most
     added = added.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
     out = found.join(added, found["doc_id"].eqNullSafe(added["_id"]) & (found["th"] == added["_th"]), "left")
     both = F.concat("base", F.coalesce("added", F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")))

@@ -152,6 +152,21 @@ def test_private_contexts(spark):
     assert [(rows[40][1][o.s : o.e], o.k) for o in out[100].spans] == [("AB-99-12345", 0)] and out[101].spans == [] and out[100].base == []
 
 
+def test_private_slots(spark):
+    """An accepted pattern adds what is of its kind in its slot, of any length and over blanks."""
+    seeds = [f"filler{k} {t} end" for k in range(40) for t in (f"write to: u{k}@x{k}.example.com", f"please call +1 (017) 555-{7000 + k}", f"the host 10.0.{k}.255")]
+    luhn = [f"a card no. {v} end" for k in range(4000) if (v := f"4539 1488 0343 {k:04d}") and sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(v.replace(" ", "")))) % 10 == 0][:60]
+    cases = [
+        ("x write to: jane(at)example.org now", "jane(at)example.org", 0), ("x write to: <jane@localhost>, now", "jane@localhost", 0), ("x write to: jane [at] example.org now", "jane [at] example.org", 0),
+        ("x please call 555 123 4567 now", "555 123 4567", 3), ("x please call (555) 12-34. 20 of them", "(555) 12-34", 3), ("x please call 555 12 2nd floor", "555 12", 3),
+        ("x the host 10.7.1 is", "10.7.1", 1), ("x the host fe80::1, is", "fe80::1", 1), ("a card no. 1488 034 11 is", "1488 034 11", 2),
+        ("x write to: everyone now", None, 0), ("x please call tomorrow at noon", None, 3), ("x write to: 12 34 people", None, 0), ("x other words 555 123 4567 now", None, 3), ("x other words jane(at)example.org", None, 0),
+    ]
+    rows = [(1000 + k, t) for k, t in enumerate(seeds + luhn)] + [(k, t) for k, (t, _, _) in enumerate(cases)]
+    out = {r.doc_id: r for r in private.all_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [[(t[o.s : o.e], o.k) for o in out[k].spans] for k, (t, _, _) in enumerate(cases)] == [[(v, k)] if v else [] for _, v, k in cases]
+
+
 def test_mixing(docs, none):
     assert mixing.mix(none).collect() == []
     rows = mixing.mix(docs).collect()
