@@ -266,6 +266,16 @@ def test_similar_at_the_limit(spark):
     assert sorted(r.doc_id for r in got) == want and 70 < len(want) < 120
 
 
+def test_similar_shared_ids(spark):
+    """Each text of a doc_id keeps its own links, and the doc_id links its texts."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 200)) for _ in range(5)]
+    rows = [(10, t) for t in texts] + [(20 + k, f"{t} more") for k, t in enumerate(texts)] + [(5, texts[0] + " less"), (40, "another text of its own")]
+    for order in (rows, rows[::-1]):
+        got = similar.keep_one(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted(r.doc_id for r in got) == [5, 40]
+
+
 def test_pipeline(docs, none, spark):
     import corpus_pipeline
 
