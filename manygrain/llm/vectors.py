@@ -203,10 +203,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     rows = vectors.select("vec_id", F.col("embedding").alias("vec")).withColumn("sound", F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull())
     classes = rows.where("sound").groupBy("vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
     classes = stored(classes, "classes")
-    edges = link_buckets(hashed(classes, classes.count(), cosine), *by_cosine(cosine))
+    edges = link_buckets(hashed(classes, classes.count(), cosine), *by_cosine(cosine), CHUNK)
     components = stored(connected_components(edges), "components")
     inside = classes.join(components, "node")
-    links = count_links(inside.select("component", "node", "weight", "vec"), cosine)
+    links = count_links(inside.select("component", "node", "weight", "vec"), cosine, CHUNK // 2)
     known = stored(classes.join(components, "node", "left").join(links, "node", "left").select("vec", F.coalesce("component", "node").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.lit(True).alias("sound")), "known")
     out = rows.join(known, ["vec", "sound"], "left")
     component = F.coalesce("component_id", "vec_id")

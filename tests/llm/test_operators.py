@@ -229,6 +229,17 @@ def test_vectors(spark, monkeypatch):
     assert all((got[k].n_links, got[k].component_id, got[k].kept) == (0, k, True) for k in (900, 901, 902, 903, 906)) and got[905].component_id == 904 and not got[None].kept
 
 
+def test_vectors_chunks(spark, monkeypatch):
+    """CHUNK reaches the linking of large buckets and the counting over blocks."""
+    seen = []
+    link, count = vectors.link_buckets, vectors.count_links
+    monkeypatch.setattr(vectors, "CHUNK", 16)
+    monkeypatch.setattr(vectors, "link_buckets", lambda t, load, near, chunk=1024: seen.append(chunk) or link(t, load, near, chunk))
+    monkeypatch.setattr(vectors, "count_links", lambda m, cosine, block=512: seen.append(block) or count(m, cosine, block))
+    vectors.near_vectors(spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])], "vec_id long, embedding array<float>"))
+    assert seen == [16, 8]
+
+
 def test_similar(docs, none):
     assert similar.keep_one(none).collect() == []
     ids = [r.doc_id for r in similar.keep_one(docs).collect()]
