@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -21,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and Spark runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share.")
     if not getattr(shared_dir, "own", None):
         shared_dir.own = tempfile.mkdtemp(prefix="manygrain-")
     return shared_dir.own
@@ -48,11 +51,23 @@ def _clean() -> None:
             return
 
 
+#: With this setting an execution removes its shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: a lost executor loses none of it."""
+    """Write ``df`` to a table in the shared folder and read it back: a lost executor loses none of it.
+
+    The write's shuffle files go when it ends, as the table stands in for them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

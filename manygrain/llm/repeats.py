@@ -4,11 +4,16 @@ A match of LENGTH bytes is all that decides, so suffixes are compared to that de
 agree to it share the smallest hash among their GRAM-byte substrings and its place, so each
 suffix goes to the group of that hash, and suffixes next to each other in a text with the same
 hash travel as one stretch. Stretches whose hash is found once hold no match. Equal stretches are
-merged by hash and counted. Of the rest, each group is sorted into suffix order; where
-neighbours agree to the full depth, the previous smaller positions give the longest previous
-factor, and any other member a match. Groups of over GROUP stretches are cut into pieces of
-eight starts, grouped by the bytes that all strings of a piece share, and equal pieces merged;
-what is still too large goes on by single strings, so that no task holds such a group.
+merged and counted. Of the rest, groups are sorted into suffix order, with the common prefixes of
+neighbours; the previous and the next smaller text position in that order give each suffix its
+longest previous factor. A factor of LENGTH bytes is an earlier match, a neighbour that agrees to
+the full depth any match.
+
+Groups of more than GROUP stretches are divided first, as in a string quicksort: the group's earliest
+stretch is the pivot, whose strings settle those that equal them; what is left of a stretch differs
+from the pivot at a known byte to the left or to the right of the hashed substring, and goes on in
+the group of that byte. A stretch makes two pieces at most, which never overlap. This repeats until
+every group fits a task, whatever its size was.
 """
 
 from __future__ import annotations
@@ -17,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_stored, stored
-from .vectors import by_group
 
-LENGTH, GRAM, GROUP = 200, 32, 1024
-#: Bytes of a text that are hashed at a time (positions have 24 bits).
-CHUNK = 1 << 21
+LENGTH, GRAM, GROUP = 200, 32, 256
+#: Bytes of a text that are hashed at a time (positions have 24 bits); stretches sorted at once, in whole groups.
+CHUNK, BATCH = 1 << 21, 128
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+#: What tells a stretch's place apart: lo is its first start, n counts its starts, o is the hashed substring's place after lo.
+_PLACE = ("doc_id", "th", "lo", "n", "o")
 
 
 def stretches(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -90,145 +96,208 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
 
 
 def suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of fixed-depth suffixes (rows of bytes) and whether each agrees with the one before to the full depth."""
-    keys = np.ascontiguousarray(windows).view(f"S{windows.shape[1]}").ravel() if not (windows == 0).any() else np.ascontiguousarray(windows).view(np.dtype((np.void, windows.shape[1]))).ravel()
-    order = np.argsort(keys, kind="stable")
-    sorted_ = keys[order]
-    same = np.zeros(len(order), bool)
-    same[1:] = sorted_[1:] == sorted_[:-1]
-    return order, same
+    """Suffix order of fixed-depth suffixes (rows of bytes) and how many bytes each shares with the one before."""
+    order = np.argsort(np.ascontiguousarray(windows).view(f"S{windows.shape[1]}").ravel(), kind="stable")
+    sorted_, common = windows[order], np.zeros(len(order), np.int64)
+    differ = sorted_[1:] != sorted_[:-1]
+    common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), windows.shape[1])
+    return order, common
 
 
-def previous_factors(order: np.ndarray, same: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix: has it another occurrence; has it an earlier one (its longest previous factor reaches the full depth).
+def previous_factors(position: np.ndarray, common: np.ndarray, least: int = 1) -> np.ndarray:
+    """The longest previous factor of each suffix, in suffix order; those under ``least`` are given as 0.
 
-    The nearest smaller positions on either side in suffix order agree to the full depth exactly
-    if a smaller position exists in the run of agreeing neighbours.
+    position: the suffixes' places in the text; common: bytes shared with the one before. On either
+    side, the nearest suffix with a smaller position shares more with a suffix than any farther one,
+    so the longer of the two is its longest previous factor.
     """
-    run = np.cumsum(~same) - 1
-    starts = np.flatnonzero(~same)
-    sizes = np.diff(np.append(starts, len(order)))
-    least = np.minimum.reduceat(position[order], starts)
-    other, earlier = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    other[order] = sizes[run] > 1
-    earlier[order] = position[order] > least[run]
-    return other, earlier
 
+    def nearest_smaller(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+        near, shared = np.arange(len(position)) - 1, common.copy()
+        while len(at := np.flatnonzero((shared >= least) & (position[near] >= position))):
+            shared[at], near[at] = np.minimum(shared[at], shared[near[at]]), near[near[at]]
+        return np.where((near >= 0) & (shared >= least), shared, 0)
+
+    after = np.append(common[1:], 0)[::-1]
+    return np.maximum(nearest_smaller(position, common), nearest_smaller(position[::-1], after)[::-1])
+
+
+def _words(length: int) -> int:
+    """Words of 64 bits for a mask over the places that the hashed substring can have in a string."""
+    return (length - GRAM) // 64 + 1
+
+
+def _mask_names(length: int) -> list[str]:
+    return [f"{kind}{w}" for kind in ("other", "earlier") for w in range(_words(length))]
+
+
+def _mask_kinds(length: int) -> str:
+    return ", ".join(f"{x} long" for x in _mask_names(length))
+
+
+def _packed(flags: np.ndarray, place: np.ndarray, first: np.ndarray, words: int) -> list[np.ndarray]:
+    """Bits at ``place``, gathered from each of ``first`` on."""
+    bit = np.where(flags, np.uint64(1) << (place & 63).astype(np.uint64), np.uint64(0))
+    return [np.bitwise_or.reduceat(np.where(place >> 6 == w, bit, np.uint64(0)), first).view(np.int64) for w in range(words)]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole groups, from rows sorted by ``key``; a group is not cut, so it bounds a table with BATCH."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for a in range(0, batch.num_rows, BATCH):
+            held.append(batch.slice(a, BATCH))
+            if sum(x.num_rows for x in held) < BATCH:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = table.column(key).to_numpy()
+            at = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+            if at:
+                yield table.slice(0, at)
+            held = table.slice(at).to_batches()
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def matches(table: pa.Table, length: int) -> list[np.ndarray]:
+    """Masks (other, earlier) of each stretch of whole groups g, by the hashed substring's place in the string."""
+    g, lo, n, o, th = (table.column(c).to_numpy().astype(np.int64) for c in ("g", "lo", "n", "o", "th"))
+    known, doc = table.column("doc_id").is_valid().to_numpy(), table.column("doc_id").fill_null(0).to_numpy()
+    by_text = np.lexsort((th, doc, known))
+    change = np.zeros(len(g), np.int64)
+    for c in (th, doc, known.astype(np.int64)):
+        change[1:] |= c[by_text][1:] != c[by_text][:-1]
+    rank = np.empty(len(g), np.int64)
+    rank[by_text] = np.cumsum(change)
+    data = table.column("bytes").combine_chunks()
+    data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
+    ends = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1 + data.offset)[data.offset :].astype(np.int64)
+    first = np.cumsum(n) - n
+    row = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(row)) - first[row]
+    buffer = np.frombuffer(data.buffers()[2], np.uint8)
+    windows = np.lib.stride_tricks.sliding_window_view(buffer, length)[ends[row] + step]
+    number = (np.cumsum(np.append(0, g[1:] != g[:-1]))[row]).astype(">u4").view(np.uint8).reshape(-1, 4)
+    order, common = suffix_order(np.concatenate([number, windows], axis=1))  # the group's number comes before its strings
+    common = np.maximum(common - 4, 0)
+    factors = previous_factors(((rank[row] << 32) + lo[row] + step)[order], common, length)
+    other, earlier = np.zeros(len(row), bool), np.zeros(len(row), bool)
+    other[order] = (common == length) | (np.append(common[1:], 0) == length)
+    earlier[order] = factors == length
+    place = o[row] - step
+    return [*_packed(other, place, first, _words(length)), *_packed(earlier, place, first, _words(length))]
+
+
+def _match_groups(pieces: DataFrame, length: int) -> DataFrame:
+    """h, rh and masks, of the pieces in groups that fit a task."""
+    names = _mask_names(length)
 
-def _bits(flags: np.ndarray) -> bytes:
-    return np.packbits(flags, bitorder="little").tobytes()
-
-
-_MASKS = "h long, rh long, other binary, earlier binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, "g"):
+            masks = matches(table, length)
+            yield from pa.table([table.column("h"), table.column("rh"), *map(pa.array, masks)], names=["h", "rh", *names]).to_batches()
 
+    rows = pieces.select("g", "h", "rh", "doc_id", "th", "lo", "n", "o", "bytes").repartition("g").sortWithinPartitions("g")
+    return rows.mapInArrow(run, f"h long, rh long, {_mask_kinds(length)}")
 
-def _match_groups(ranges: DataFrame, length: int) -> DataFrame:
-    """Masks (other, earlier) over the starts of each distinct stretch, from the stretches of its group."""
 
-    def match(group: pa.Table) -> pa.Table:
-        h, rh, n, lo, rank = (group.column(c).to_numpy() for c in ("h", "rh", "n", "lo", "rank"))
-        data = [np.frombuffer(x.as_buffer(), np.uint8) for x in group.column("bytes").combine_chunks()]
-        windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(d, length) for d in data])
-        position = np.concatenate([(np.int64(r) << 32) + a + np.arange(m, dtype=np.int64) for r, a, m in zip(rank, lo, n)])
-        other, earlier = previous_factors(*suffix_order(windows), position)
-        ends = np.cumsum(n.astype(np.int64))
-        return pa.table({
-            "h": pa.array(h), "rh": pa.array(rh),
-            "other": pa.array([_bits(other[e - m : e]) for e, m in zip(ends, n)], pa.binary()),
-            "earlier": pa.array([_bits(earlier[e - m : e]) for e, m in zip(ends, n)], pa.binary()),
-        })
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Bytes that a and b have in common from their start."""
+    m = min(len(a), len(b))
+    differ = a[:m] != b[:m]
+    return int(differ.argmax()) if differ.any() else m
 
-    def with_ranks(group: pa.Table) -> pa.Table:
-        first = sorted(set(zip(group.column("doc_id").to_pylist(), group.column("th").to_pylist())), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-        place = {x: k for k, x in enumerate(first)}
-        rank = [place[x] for x in zip(group.column("doc_id").to_pylist(), group.column("th").to_pylist())]
-        return match(group.append_column("rank", pa.array(rank, pa.int64())))
 
-    return by_group(ranges, ["h"], with_ranks, _MASKS)
+def against_pivot(data: np.ndarray, n: int, o: int, pivot: np.ndarray, pivot_n: int, pivot_o: int) -> tuple[int, int]:
+    """How far a stretch and its pivot agree to the left and to the right of the hashed substring, as far as both reach; (-1, 0) if not there."""
+    if (data[o : o + GRAM] != pivot[pivot_o : pivot_o + GRAM]).any():
+        return -1, 0
+    return _shared(data[:o][::-1], pivot[:pivot_o][::-1]), _shared(data[o + GRAM :], pivot[pivot_o + GRAM :])
 
 
-def _narrow(ranges: DataFrame, length: int, step: int) -> DataFrame:
-    """Stretches cut into pieces of ``step`` starts at most, grouped by the bytes that all strings of a piece share."""
-    names = ["h", "rh", "doc_id", "th", "lo", "n", "o", "bytes", "ph", "prh", "j"]
+def _divide(pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(masks of what the pivots settle, smaller pieces in their new groups g) of the pieces of large groups."""
+    words, span = _words(length), length - GRAM
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", (F.col("lo") + F.col("o")).alias("at"), "rh", "h", "bytes", "n", "o")
+    pivots = pieces.groupBy("g").agg(F.min(place).alias("p")).select(F.col("g"), F.col("p.h").alias("ph"), F.col("p.rh").alias("prh"), F.col("p.bytes").alias("pbytes"), F.col("p.n").alias("pn"), F.col("p.o").alias("po"))
+    both = pieces.join(stored(pivots, "pivots"), "g")
+    names = ["g", "h", "rh", "ph", "prh", "doc_id", "th", "lo", "n", "o", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
-        kinds = (pa.int64(),) * 4 + (pa.int32(), pa.int16(), pa.int16(), pa.binary(), pa.int64(), pa.int64(), pa.int16())
-        for batch in batches:
-            rows, columns = [], [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("h", "rh", "doc_id", "th", "lo", "n", "o", "bytes")]
-            for h, rh, doc_id, th, lo, n, o, data in zip(*columns):
-                j = 0
-                while j < n:
-                    block = (o - j) // step
-                    end = min(n, o - block * step + 1)  # starts of this block: place - block * step - (step - 1) to place - block * step
-                    core = data[o - block * step : o - block * step - step + 1 + length]
-                    piece = data[j : end - 1 + length]
-                    key = xxh3_64_intdigest(core, (h ^ block * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-                    own = xxh3_64_intdigest(piece, o - j)
-                    rows.append((key - (key >> 63 << 64), own - (own >> 63 << 64), doc_id, th, lo + j, end - j, o - j, piece, h, rh, j))
-                    j = end
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 11, kinds)], names=names)
-
-    return ranges.mapInArrow(run, "h long, rh long, doc_id long, th long, lo int, n short, o short, bytes binary, ph long, prh long, j short")
-
-
-_WHERE = ("doc_id", "th", "lo", "n", "o")
-
-
-def _where():
-    return F.struct(F.col("doc_id").isNotNull().alias("known"), *_WHERE)
-
-
-def _masks(ranges: DataFrame, length: int, steps: tuple[int, ...] = (8, 1)) -> DataFrame:
-    """Masks of distinct stretches; groups of over GROUP go on in narrower pieces, at last in single strings."""
-    small = _match_groups(ranges.where(F.col("k") <= GROUP), length)
-    large = ranges.where(F.col("k") > GROUP)
-    if not steps or large.isEmpty():
-        return small
-    full = F.lit(b"\xff")
-    pieces = stored(_narrow(large, length, steps[0]), "pieces")
-    kinds = stored(pieces.groupBy("h", "rh").agg(F.count("*").alias("c"), F.min(_where()).alias("at")), "kinds")
-    groups = kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-    mixed = stored(kinds.join(groups, "h").select("h", "rh", "k", "at"), "mixed")
-    next_ = pieces.join(mixed, ["h", "rh"]).where(_where() == F.col("at")).select("h", "rh", "k", "lo", "n", "o", "doc_id", "th", "bytes")
-    inner = stored(_masks(stored(next_, "ranges"), length, steps[1:]), "inner")
-    inner = inner.groupBy("h", "rh").agg(F.max("other").alias("other"), F.max("earlier").alias("earlier"))
-    found = pieces.drop("bytes").join(stored(kinds.join(inner, ["h", "rh"], "left"), "judged"), ["h", "rh"])
-    other = F.when(F.col("c") > 1, full).otherwise(F.col("other"))
-    earlier = F.when(_where() != F.col("at"), full).otherwise(F.col("earlier"))
-    found = found.groupBy("ph", "prh").agg(F.collect_set(F.struct("j", "n", other.alias("other"), earlier.alias("earlier"))).alias("parts"))  # a stretch has 169 starts at most
-
-    def join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list] = ([], [])
-            for parts in batch.column(2).to_pylist():
-                for k, name in enumerate(("other", "earlier")):
-                    flags = np.zeros(length, bool)
-                    for p in parts:
-                        if p[name] is not None:
-                            flags[p["j"] : p["j"] + p["n"]] |= np.unpackbits(np.frombuffer(p[name], np.uint8), bitorder="little")[: p["n"]].astype(bool)
-                    out[k].append(_bits(flags))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(o, pa.binary()) for o in out]], names=["h", "rh", "other", "earlier"])
-
-    return small.unionByName(found.mapInArrow(join_parts, _MASKS))
+            n, o, pn, po = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("n", "o", "pn", "po"))
+            data, pivots = (batch.column(batch.schema.get_field_index(c)) for c in ("bytes", "pbytes"))
+            out = []
+            for k in range(batch.num_rows):
+                x = np.frombuffer(data[k].as_buffer(), np.uint8)
+                left, right = against_pivot(x, n[k], o[k], np.frombuffer(pivots[k].as_buffer(), np.uint8), pn[k], po[k])
+                out.append((left, right, int(x[o[k] - left - 1]) if 0 <= left < o[k] else -1, int(x[o[k] + GRAM + right]) if o[k] + GRAM + right < len(x) else -1))
+            left, right, before, after = np.array(out, np.int64).reshape(-1, 4).T
+            # by the hashed substring's place: equal to the pivot's string, beyond what agrees on the left, else on the right
+            low, high = np.maximum(o - n + 1, span - right), np.minimum(o, left)
+            masks = [np.zeros(len(o), np.uint64) for _ in range(words)]
+            for d in range(span + 1):
+                masks[d >> 6] |= np.where((low <= d) & (d <= high), np.uint64(1) << np.uint64(d & 63), np.uint64(0))
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
+            sides = [pa.array(c.astype(np.int32)) for c in (left, right, before, after)]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(m.view(np.int64)) for m in masks], *sides], names=[*names, *_mask_names(length)[:words], "left", "right", "before", "after"])
+
+    kinds = "g long, h long, rh long, ph long, prh long, doc_id long, th long, lo int, n short, o short, bytes binary, "
+    found = both.mapInArrow(run, kinds + ", ".join(f"{x} long" for x in _mask_names(length)[:words]) + ", left int, right int, before int, after int")
+    found = stored(found, "divided")
+    own = (F.col("h") == F.col("ph")) & (F.col("rh") == F.col("prh"))
+    others = [x for x in _mask_names(length)[:words]]
+    settled = found.where(~own).select("h", "rh", *others, *[F.col(x).alias(x.replace("other", "earlier")) for x in others])
+    of_pivot = found.where(~own).groupBy("ph", "prh").agg(*[F.bit_or(x).alias(x) for x in others]).select(F.col("ph").alias("h"), F.col("prh").alias("rh"), *others, *[F.lit(0).cast("long").alias(x.replace("other", "earlier")) for x in others])
+
+    def piece(low: Column, high: Column, side: str, agreed: str, byte: str) -> DataFrame:
+        """Strings whose hashed substring has a place from ``low`` to ``high``."""
+        skip, count = F.col("o") - high, high - low + 1
+        rows = found.where(~own).where(count > 0)
+        key = F.xxhash64("g", F.lit(side), agreed, byte)
+        return rows.select(key.alias("g"), "h", "rh", "doc_id", "th", (F.col("lo") + skip).cast("int").alias("lo"), count.cast("short").alias("n"), high.cast("short").alias("o"),
+                           F.substring("bytes", skip + 1, count + (length - 1)).alias("bytes"))
+
+    lowest = F.col("o") - F.col("n") + 1
+    on_left = piece(F.greatest(F.col("left") + 1, lowest), F.col("o"), "left", "left", "before")
+    on_right = piece(lowest, F.least(F.col("left"), F.lit(span - 1) - F.col("right"), F.col("o")), "right", "right", "after")
+    return settled.unionByName(of_pivot), on_left.unionByName(on_right)
+
+
+def _masks(ranges: DataFrame, length: int) -> DataFrame:
+    """h, rh and masks of distinct stretches (g, h, rh, place, bytes and k, the rows of its group)."""
+    found, now = None, ranges
+    while True:
+        some = stored(_match_groups(now.where(F.col("k") <= GROUP), length), "matched")
+        found = some if found is None else found.unionByName(some)
+        large = now.where(F.col("k") > GROUP)
+        if large.isEmpty():
+            break
+        settled, pieces = _divide(large, length)
+        found, pieces = found.unionByName(stored(settled, "settled")), stored(pieces, "pieces")
+        sizes = pieces.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
+        now = stored(pieces.join(sizes, "g"), "ranges")
+    return found.groupBy("h", "rh").agg(*[F.bit_or(x).alias(x) for x in _mask_names(length)])
+
+
+def _where() -> Column:
+    return F.struct(F.col("doc_id").isNotNull().alias("known"), *_PLACE)
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
-    """doc_id, th, found: per text, an array of (lo, n, mask): starts of repeated strings of ``length`` bytes.
+    """doc_id, th, found: per text, an array of (lo, n, o, mask): starts of repeated strings of ``length`` bytes.
 
-    ``keep="none"``: every start whose string starts elsewhere too. ``keep="first"``: only those
-    whose string starts earlier, in order of doc_id (null first), text hash and byte.
+    Bit d of the mask (words of 64 bits) is the string that starts at lo + o - d. ``keep="none"``: every
+    start whose string starts elsewhere too. ``keep="first"``: only those whose string starts
+    earlier, in order of doc_id (null first), text hash and byte.
     """
-    spark = docs.sparkSession
     cut = stored(_cut(_texts(docs), length), "cut")
     twice = stored(cut.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "twice")
     held = stored(cut.join(twice, "h"), "held")
     drop_stored(cut, twice)
-    spark.sparkContext._jvm.System.gc()  # lets go of the shuffle files of the large tables above
     kinds = stored(held.groupBy("h", "rh").agg(F.count("*").alias("c"), F.min(_where()).alias("at")), "kinds")
     groups = stored(kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "groups")
-    mixed = kinds.join(groups, "h").select("h", "rh", "k", F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"), F.col("at.lo").alias("lo"), F.col("at.n").alias("n"), F.col("at.o").alias("o"))
+    mixed = kinds.join(groups, "h").select("h", "rh", "k", *[F.col(f"at.{x}").alias(x) for x in _PLACE])
     asked = mixed.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "rh", "k", "lo", "n", "o")).alias("asked"))  # no more than the text has stretches
     asked = stored(asked.withColumnsRenamed({"doc_id": "_id", "th": "_th"}), "asked")
     texts = _texts(docs)
@@ -244,32 +313,26 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, keep: str = "none") -
                 yield pa.RecordBatch.from_arrays([*want, pa.array([doc_id.as_py()] * len(lo), pa.int64()), pa.array([th.as_py()] * len(lo), pa.int64()), cutout], names=[*names, "doc_id", "th", "bytes"])
 
     ranges = joined.mapInArrow(slices, "h long, rh long, k long, lo int, n short, o short, doc_id long, th long, bytes binary")
-    ranges = stored(ranges, "ranges")
-    masks = _masks(ranges, length)
-    masks = stored(masks.groupBy("h", "rh").agg(F.max("other").alias("other"), F.max("earlier").alias("earlier")), "masks")
+    ranges = stored(ranges.withColumn("g", F.col("h")), "ranges")
+    masks = stored(_masks(ranges, length), "masks")
     drop_stored(ranges, asked, groups)
-    spark.sparkContext._jvm.System.gc()
-    full = F.lit(b"\xff" * (length // 8))
-    verdict = stored(kinds.join(masks, ["h", "rh"], "left").select("h", "rh", "c", "at", "other", "earlier"), "verdict")
+    verdict = stored(kinds.join(masks, ["h", "rh"], "left"), "verdict")
     drop_stored(kinds, masks)
     me = held.join(verdict, ["h", "rh"])
-    first = _where() == F.col("at")
-    if keep == "none":
-        mask = F.when(F.col("c") > 1, full).otherwise(F.col("other"))
-    else:
-        mask = F.when(~first, full).otherwise(F.col("earlier"))
-    me = me.select("doc_id", "th", F.struct("lo", "n", mask.alias("mask")).alias("x")).where("x.mask is not null")
+    everything, kind = (F.col("c") > 1, "other") if keep == "none" else (_where() != F.col("at"), "earlier")
+    mask = F.array(*[F.when(everything, F.lit(-1)).otherwise(F.coalesce(f"{kind}{w}", F.lit(0))).cast("long") for w in range(_words(length))])
+    me = me.select("doc_id", "th", F.struct("lo", "n", "o", mask.alias("mask")).alias("x")).where(F.exists("x.mask", lambda w: w != 0))
     return me.groupBy("doc_id", "th").agg(F.collect_list("x").alias("found"))  # no more than the text has stretches
 
 
-def covered(n_bytes: int, found: list, length: int) -> np.ndarray:
-    """Which bytes a marked start's string covers."""
-    steps = np.zeros(n_bytes + 1, np.int64)
-    for x in found:
-        at = np.flatnonzero(np.unpackbits(np.frombuffer(x["mask"], np.uint8), bitorder="little")[: x["n"]]) + x["lo"]
-        np.add.at(steps, at, 1)
-        np.add.at(steps, at + length, -1)
-    return np.cumsum(steps[:-1]) > 0
+def covered(n_bytes: int, lo: np.ndarray, n: np.ndarray, o: np.ndarray, mask: np.ndarray, length: int) -> np.ndarray:
+    """Which bytes the strings of marked starts cover; mask: one row of words for each stretch."""
+    bits = np.unpackbits(np.ascontiguousarray(mask, "<i8").view(np.uint8), axis=1, bitorder="little")
+    row, place = np.nonzero(bits)
+    step = o[row] - place
+    start = (lo[row] + step)[(step >= 0) & (step < n[row])]
+    ends = np.bincount(start, minlength=n_bytes + 1) - np.bincount(start + length, minlength=n_bytes + 1)
+    return np.cumsum(ends[:n_bytes]) > 0
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
@@ -289,9 +352,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none") ->
                 rows = []
                 for doc_id, text, found in zip(*[batch.column(k).slice(a, 256) for k in range(3)]):
                     data = text.as_py().encode()
-                    gone = covered(len(data), found.as_py(), length) if found.is_valid else np.zeros(len(data), bool)
-                    spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                    rows.append((doc_id.as_py(), len(data), int(gone.sum()), spans, np.frombuffer(data, np.uint8)[~gone].tobytes()))
+                    if found.is_valid:
+                        lo, n, o, mask = found.values.flatten()
+                        words = mask.flatten().to_numpy().reshape(len(lo), -1)
+                        gone = covered(len(data), *[x.to_numpy().astype(np.int64) for x in (lo, n, o)], words, length)
+                        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+                        rows.append((doc_id.as_py(), len(data), int(gone.sum()), spans, np.frombuffer(data, np.uint8)[~gone].tobytes()))
+                    else:
+                        rows.append((doc_id.as_py(), len(data), 0, 0, data))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 

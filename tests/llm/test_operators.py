@@ -192,12 +192,63 @@ def test_repeats(docs, none, monkeypatch):
             if counts[t[i : i + 200]] > 1:
                 gone[i : i + 200] = True
         want[(doc_id, len(t), int(gone.sum()), bytes(np.frombuffer(t, np.uint8)[~gone]))] += 1
-    for group in (1024, 1):
+    firsts = []
+    for group in (1024, 3, 1):
         monkeypatch.setattr(repeats, "GROUP", group)
         got = repeats.remove_repeats(docs).collect()
         assert Counter((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in got) == want
-    first = {r.doc_id: bytes(r.kept) for r in repeats.remove_repeats(docs, keep="first").collect()}
-    assert first[6].decode().startswith(PASSAGE[:199]) and first[8] == b"" and len(first[7]) < 60
+        first = {r.doc_id: bytes(r.kept) for r in repeats.remove_repeats(docs, keep="first").collect()}
+        assert first[6].decode().startswith(PASSAGE[:199]) and first[8] == b"" and len(first[7]) < 60
+        firsts.append(first)
+    assert firsts[0] == firsts[1] == firsts[2]
+
+
+def brute_repeats(data, first=False):
+    """(doc_id, bytes removed, bytes left), by all strings of 200 bytes; first: only those that start earlier too."""
+    seen, counts, out = set(), Counter(t[i : i + 200] for _, t in data for i in range(len(t) - 199)), []
+    for doc_id, t in data:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 199):
+            if counts[t[i : i + 200]] > 1 if not first else t[i : i + 200] in seen:
+                gone[i : i + 200] = True
+            seen.add(t[i : i + 200])
+        out.append((doc_id, int(gone.sum()), bytes(np.frombuffer(t, np.uint8)[~gone])))
+    return out
+
+
+@pytest.mark.parametrize("copies", [1, 1024, 5000])
+def test_repeats_group_sizes(spark, copies):
+    """One passage in other surroundings each time: stretches at its ends form groups of that size."""
+    rng = np.random.default_rng(copies)
+    passage = "".join(map(chr, rng.integers(97, 123, 230)))
+    letters = lambda n: "".join(map(chr, rng.integers(97, 100, n)))
+    texts = [letters(int(rng.integers(0, 12))) + passage[int(rng.integers(0, 20)) :] + letters(int(rng.integers(0, 12))) for _ in range(copies)] + [passage[40:] * 3]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    data = [(k, t.encode()) for k, t in enumerate(texts)]
+    for keep in ("none", "first"):
+        got = sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in repeats.remove_repeats(docs, keep=keep).collect())
+        assert got == brute_repeats(data, keep == "first")
+
+
+def test_previous_factors():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 50, 400):
+        text = rng.integers(0, 2, n).astype(np.uint8)
+        text[n // 2 : n // 2 + n // 4] = text[: n // 4]
+        padded = np.concatenate([text + 1, np.zeros(n, np.uint8)])
+        order, common = repeats.suffix_order(np.lib.stride_tricks.sliding_window_view(padded, n)[:n])
+        factors = repeats.previous_factors(order, common)
+        raw = text.tobytes()
+        want = [max((next((m for m in range(n - i) if raw[i + m] != raw[j + m]), n - i) for j in range(i)), default=0) for i in range(n)]
+        assert dict(zip(order.tolist(), factors.tolist())) == dict(enumerate(want))
+        assert [f if f >= 3 else 0 for f in factors] == repeats.previous_factors(order, common, 3).tolist()
+
+
+def test_repeats_colliding_substrings(spark, monkeypatch):
+    """Groups of one hash whose hashed substrings differ are told apart by their bytes."""
+    a, b = (np.frombuffer(("".join(map(chr, np.random.default_rng(s).integers(97, 123, 240)))).encode(), np.uint8) for s in (1, 2))
+    assert repeats.against_pivot(a[:210], 10, 9, b[:210], 10, 9) == (-1, 0)
+    assert repeats.against_pivot(a[5:215], 10, 9, a[:205], 5, 14) == (9, 159)
 
 
 def test_quality(docs, none):
