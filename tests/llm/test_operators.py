@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -352,3 +353,53 @@ def test_pipeline(docs, none, spark):
                 assert sorted(r.doc_id for r in now.collect() if r.doc_id and r.doc_id >= 50) == [50, 60]
         ids = {r.doc_id for r in now.collect()}
         assert ids <= {50, 60} and (start is none or ids)
+
+
+def brute_base(text):
+    """Base spans (s, e, kind) by the wording of the contract."""
+    luhn = lambda d: sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda v: re.sub("[^0-9]", "", v)
+    tests = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v: all(int(p) <= 255 for p in v.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda v: 14 <= len(digits(v)) <= 19 and luhn(digits(v))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: 10 <= len(digits(v)) <= 15),
+    }
+    found = [(m.start(), k, m.end(), kind) for k, (kind, (form, right)) in enumerate(tests.items()) for m in re.finditer(form, text) if right(m.group())]
+    return [(s, e, kind) for s, _, e, kind in sorted(found)]
+
+
+def test_private_query(spark, docs, tmp_path):
+    """op6's rows: every count, digest and base span; base spans stay among all spans."""
+    rng = np.random.default_rng(12)
+    parts = ["a.b@c.de", "x@y", "10.20.30.40", "256.1.1.1", "4539 1488 0343 6467", "4539148803436467", "+1 (017) 555-7713", "+12 3", " ", "\n", "naïve ", "\U0001f600", "7", "-", ".", "word "]
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), 60)) for _ in range(150)] + TEXTS
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in private.query(spark, str(tmp_path)).collect():
+        base = brute_base(texts[r.doc_id] or "")
+        written = [f"{kind}:{s}:{e}" for s, e, kind in base]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(b[2] == k for b in base) for k in ("email", "ip", "card", "phone"))
+        assert r.base_sha256 == hashlib.sha256(",".join(written).encode()).hexdigest() and not Counter(written) - Counter(r.spans.split(","))
+
+
+def test_private_learns_both_sides(spark):
+    """Patterns with a word on either side and with two on the right need more seeds; secrets come from their patterns alone."""
+    rows = [(k, f"f{k} (mid) u{k}@x{k}.example.com (post) t{k}") for k in range(30)] + [(100 + k, f'f{k} token = "{k:032x}" g{k}') for k in range(30)]
+    cases = [("q (mid) jane(at)example.org (post) z", [("jane(at)example.org", 0)]), ("q mid jane(at)example.org other z", []), ('q token = "pass9word" z', [("pass9word", 4)]), (f'q sha = "{7:032x}" z', [])]
+    rows += [(1000 + k, t) for k, (t, _) in enumerate(cases)]
+    out = {r.doc_id: r for r in private.all_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [[(t[o.s : o.e], o.k) for o in out[1000 + k].spans] for k, (t, _) in enumerate(cases)] == [w for _, w in cases]
+    assert all([o.k for o in out[100 + k].spans] == [4] and not out[100 + k].base for k in range(30))
+
+
+def test_private_long_text(spark):
+    """Work grows with the text: 300,000 words with digits, as many matches, in one text."""
+    n = 300_000
+    text = " ".join(f"w{k}9{k % 97:05d}x" if k % 50 else f"u{k}@x.example.com" for k in range(n))
+    docs = spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string").repartition(2)
+    began = time.time()
+    got = {r.doc_id: r for r in private.all_spans(docs).collect()}
+    assert time.time() - began < 120
+    assert [(text[o.s : o.e]) for o in got[1].base] == [f"u{k}@x.example.com" for k in range(0, n, 50)] and got[2].spans == []
+    clean = private.redact(docs).where("doc_id = 1").first().text
+    assert clean.count("[EMAIL]") == n // 50 and clean == re.sub(r"u\d+@x\.example\.com", "[EMAIL]", text)
