@@ -83,6 +83,16 @@ def drop_stored(*frames: DataFrame) -> None:
             _written[:] = [x for x in _written if x[1] != path]
 
 
+#: Up to so many small rows (some 20 MB) a table is broadcast.
+FEW = 500_000
+
+
+def beside(df: DataFrame, weight: Column | None = None, most: int = FEW) -> DataFrame:
+    """``df``, to be broadcast if it has ``most`` rows at most, or if ``weight`` (small values a row holds) sums up to that; else a join shuffles."""
+    total = df.agg(F.count("*") if weight is None else F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
+
+
 def bucket_of(*cols: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int")
 
@@ -133,4 +143,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._stored_at = e._stored_at
+    return out

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored
+from .common import SPACE, beside, stored
 from .quality import bound
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -273,6 +273,7 @@ def redact(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     rows = rows.select("row", F.col("row.doc_id").alias("id"), F.xxhash64(F.lit(1), "row.text").alias("key"))
     spans = all_spans(docs.select("doc_id", "text")).where("size(spans) > 0").select(F.col("doc_id").alias("of"), "th", "spans").distinct()
+    spans = beside(stored(spans, "spans"), F.size("spans"))
     rows = rows.join(spans, rows["id"].eqNullSafe(spans["of"]) & (rows["key"] == spans["th"]), "left")
     text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(without(F.col("row.text"), F.col("spans")))
     return rows.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

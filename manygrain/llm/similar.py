@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored
+from .common import beside, connected_components, drop_stored, stored
 from .simhash import LOWER, fingerprint, link_fingerprints
 from .vectors import link_buckets
 
@@ -117,9 +117,11 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _verified(docs: DataFrame, classes: DataFrame, maybe: DataFrame) -> DataFrame:
     """Edges that connect the classes within a component of ``maybe`` whose texts are at SIMILARITY or more."""
     members = stored(classes.join(maybe, "node").select("node", "doc_id", "th", F.col("component").alias("bucket")), "members")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(members, ["doc_id", "th"])
-    texts = texts.groupBy("doc_id", "th", "node", "bucket").agg(F.first("text").alias("text"))  # equal texts: repeated rows count once
-    return link_buckets(stored(_shingled(texts), "shingles"), _sets, _near, CHUNK)
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(beside(members), ["doc_id", "th"])
+    sets = stored(_shingled(texts), "shingles")
+    edges = link_buckets(sets, _sets, _near, CHUNK)
+    drop_stored(members, sets)
+    return edges
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -128,27 +130,34 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without doc_id can't be told apart and all stay. Texts without a word are near duplicates
     of each other. Rows with equal doc_id but different texts link: they stay or go together.
     """
-    signed = stored(_signed(docs), "signed")
+    signed, spare = stored(_signed(docs), "signed"), []
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        spare.append(stored(df, what))
+        return spare[-1]
+
     known = signed.where("doc_id is not null")
     classes = known.groupBy("fp", "vec").agg(F.min(F.struct("doc_id", "th")).alias("least"))
-    classes = stored(classes.select("fp", "vec", F.monotonically_increasing_id().alias("node"), "least.doc_id", "least.th"), "classes")
-    reps = stored(classes.groupBy("fp").agg(F.min("node").alias("node")), "reps")
+    classes = kept(classes.select("fp", "vec", F.monotonically_increasing_id().alias("node"), "least.doc_id", "least.th"), "classes")
+    reps = kept(classes.groupBy("fp").agg(F.min("node").alias("node")), "reps")
     equal = classes.join(reps.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
-    banded = stored(_banded(classes), "banded")
+    banded = kept(_banded(classes), "banded")
     met = banded.join(banded.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket")
     tables = met.join(classes.select("node", "vec"), "node").select("bucket", "node", "vec")
     maybe = link_fingerprints(reps, RADIUS).unionByName(equal).unionByName(link_buckets(tables, _load, _alike, CHUNK))
-    edges = _verified(docs, classes, stored(connected_components(maybe), "maybe"))
-    rows = stored(known.join(classes.select("fp", "vec", "node"), ["fp", "vec"]).select("doc_id", "node").distinct(), "rows")
+    linked = connected_components(maybe)
+    edges = _verified(docs, classes, linked)
+    rows = kept(known.join(classes.select("fp", "vec", "node"), ["fp", "vec"]).select("doc_id", "node").distinct(), "rows")
     shared = rows.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("y")).where("b <> y").select("doc_id", "b")
     edges = edges.unionByName(rows.join(shared, "doc_id").select(F.col("node").alias("a"), "b"))
-    components = stored(connected_components(edges), "components")
-    rows = stored(rows.join(components, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component")), "rows")
+    components = connected_components(edges)
+    rows = kept(rows.join(components, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component")), "rows")
     least = rows.groupBy("component").agg(F.min("doc_id").alias("least"))
     gone = stored(rows.join(least, "component").where("doc_id <> least").select(F.col("doc_id").alias("node")).distinct(), "gone")
-    left = docs.join(gone, docs["doc_id"] == gone["node"], "left_anti")
+    left = docs.join(beside(gone), docs["doc_id"] == gone["node"], "left_anti")
     again = signed.where("doc_id is not null").groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("_id")).distinct()
     again = stored(again, "again")
+    drop_stored(signed, linked, components, *spare)
     if again.isEmpty():
         return left
     return left.join(again, left["doc_id"] == again["_id"], "left_anti").unionByName(left.join(again, left["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id", "text"]))

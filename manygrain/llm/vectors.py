@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, connected_components, drop_stored, stored
+from .common import beside, bucket_of, connected_components, drop_stored, stored
 from .simhash import local_roots
 
 #: Bucket width over the distance at the threshold; chance of missing a pair there; rows that meet by chance in a bucket; rows in a chunk.
@@ -135,18 +135,19 @@ def link_buckets(tables: DataFrame, load: Callable, near: Callable, chunk: int =
         return _edges(node[at], node[root[at]])
 
     sizes = stored(tables.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1"), "sizes")
-    placed = tables.join(sizes, "bucket").withColumn("chunk", bucket_of(F.col("node"), F.col("bucket"), buckets=1 << 30) % F.ceil(F.col("rows") / chunk).cast("int"))
+    placed = tables.join(beside(sizes), "bucket").withColumn("chunk", bucket_of(F.col("node"), F.col("bucket"), buckets=1 << 30) % F.ceil(F.col("rows") / chunk).cast("int"))
     placed = stored(placed, "placed")
     edges = stored(by_group(placed.select("bucket", "chunk", "node", "vec"), ["bucket", "chunk"], within, "a long, b long").distinct(), "edges")
     large = placed.where(F.col("rows") > chunk)
     if large.isEmpty():
-        drop_stored(placed)
+        drop_stored(placed, sizes)
         return edges
     # rows of large buckets outside their bucket's main component meet every chunk of it
-    part = connected_components(edges).withColumnRenamed("component", "part")
-    large = stored(large.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")), "large")
+    part = connected_components(edges)
+    large = stored(large.join(part.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")), "large")
+    drop_stored(part, placed, sizes)
     main = large.groupBy("bucket", "part").count().groupBy("bucket").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-    large = large.join(main, "bucket")
+    placed, large = large, large.join(main, "bucket")
     chunks = F.sequence(F.lit(0), F.ceil(F.col("rows") / chunk).cast("int") - 1)
     guests = large.where("part <> main").select("bucket", F.explode(chunks).alias("chunk"), "node", "part", "vec", F.lit(1).alias("guest"))
     hosts = large.select("bucket", "chunk", "node", "part", "vec", F.lit(0).alias("guest"))
@@ -165,7 +166,9 @@ def link_buckets(tables: DataFrame, load: Callable, near: Callable, chunk: int =
                 found.update(zip(i[i != j].tolist(), j[i != j].tolist()))
         return _edges(*zip(*found)) if found else _edges([], [])
 
-    return edges.unionByName(by_group(hosts.unionByName(guests), ["bucket", "chunk"], across, "a long, b long").distinct())
+    more = stored(by_group(hosts.unionByName(guests), ["bucket", "chunk"], across, "a long, b long").distinct(), "edges")
+    drop_stored(placed)
+    return edges.unionByName(more)
 
 
 def count_links(members: DataFrame, cosine: float, block: int = CHUNK // 2) -> DataFrame:

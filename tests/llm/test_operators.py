@@ -403,3 +403,26 @@ def test_private_long_text(spark):
     assert [(text[o.s : o.e]) for o in got[1].base] == [f"u{k}@x.example.com" for k in range(0, n, 50)] and got[2].spans == []
     clean = private.redact(docs).where("doc_id = 1").first().text
     assert clean.count("[EMAIL]") == n // 50 and clean == re.sub(r"u\d+@x\.example\.com", "[EMAIL]", text)
+
+
+def test_clashing_columns(spark):
+    """Columns named like an operator's own pass untouched; those that an operator adds give way."""
+    names = ["target", "_q", "_id", "_th", "_key", "_text", "_size", "_of", "row", "key", "spans", "th", "of", "source_size", "_step", "a.b", "node", "bucket"]
+    rows = [(k, f"mail u{k}@x.example.com " + "word " * (k + 1), f"s{k % 2}", *[f"{n}{k}" for n in names]) for k in range(12)]
+    wide = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    mixed = mixing.mix(wide).collect()
+    assert len(mixed) == 12 and all(r[n] == f"{n}{r.doc_id}" for r in mixed for n in names if n != "_size") and all(r["_size"] == r.doc_id + 3 for r in mixed)
+    clean = private.redact(wide)
+    assert clean.columns == wide.columns and all(r["text"].startswith("mail [EMAIL] ") and all(r[n] == f"{n}{r.doc_id}" for n in names) for r in clean.collect())
+    assert sorted(tuple(r) for r in similar.keep_one(wide).collect()) == sorted(tuple(r) for r in rows)
+
+
+def test_mixing_odds(spark):
+    """Inclusion follows size: of equal numbers of short and long documents, more long ones are drawn, and the words still meet the target."""
+    rows = [(k, "w " * (4 if k % 2 else 16), "s") for k in range(4000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    drawn = Counter(r._size for r in out if r._copies == 2)
+    assert all(r._copies in (1, 2) for r in out) and drawn[16] > 1.4 * drawn[4] > 0
+    assert abs(sum(r._size * r._copies for r in out) - out[0]._target) <= 16
+    none = mixing.mix(spark.createDataFrame([(1, None, "s"), (2, " ", None)], "doc_id long, text string, source string")).collect()
+    assert [r._copies for r in none] == [0, 0]
