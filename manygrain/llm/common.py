@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """A struct of the columns, whatever their names."""
+    return F.struct(*[df["`" + c.replace("`", "``") + "`"].alias(c) for c in (df.columns if columns is None else columns)])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and Spark runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, stored
+from .common import WORD, stored, whole_row
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 STEPS, SEED = 4096, "mix-1"
@@ -57,7 +57,7 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     own = [c for c in docs.columns if c not in ADDED]
-    sized = docs.select(F.struct(*[docs[c] for c in own]).alias("row"), docs["doc_id"], docs["source"], words.alias("_size"))
+    sized = docs.select(whole_row(docs, own).alias("row"), docs["doc_id"], docs["source"], words.alias("_size"))
     sized = sized.withColumn("_u", uniform(F.col("doc_id"), seed))
     facts = stored(sized.select("source", "_size", "_u", "doc_id"), "sizes")
     sources = facts.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count_if(F.col("_size") > 0).alias("_docs"))

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, beside, stored
+from .common import SPACE, beside, stored, whole_row
 from .quality import bound
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -270,7 +270,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Other columns, of whatever name, stay as they are.
     """
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = docs.select(whole_row(docs).alias("row"))
     rows = rows.select("row", F.col("row.doc_id").alias("id"), F.xxhash64(F.lit(1), "row.text").alias("key"))
     spans = all_spans(docs.select("doc_id", "text")).where("size(spans) > 0").select(F.col("doc_id").alias("of"), "th", "spans").distinct()
     spans = beside(stored(spans, "spans"), F.size("spans"))
