@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manygrain.llm import mixing, packing, private, quality, similar
-from manygrain.llm.common import stored, table
+from manygrain.llm.common import stored, table, whole_row
 from manygrain.llm.tokens import default_vocabulary
 
 
 def _slim(docs: DataFrame, *columns: str) -> DataFrame:
     """What an operator needs, with the whole row beside it: columns of any name pass untouched."""
-    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[docs[c] for c in columns])
+    return docs.select(whole_row(docs).alias("row"), *[docs[c] for c in columns])
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
