@@ -56,8 +56,8 @@ def _clean() -> None:
             return
 
 
-#: With this setting an execution removes its shuffle files when it ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a written table's execution: it removes its shuffle files when it ends, and hands rows to Python in small batches.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -67,12 +67,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
     try:
+        for k, v in _SETTINGS.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

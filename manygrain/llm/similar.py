@@ -23,8 +23,8 @@ from .simhash import LOWER, fingerprint, link_fingerprints
 from .vectors import link_buckets
 
 WIDTH, SIMILARITY, RADIUS, ROWS, TABLES, HASHES = 5, 0.8, 2, 3, 10, 128
-#: Estimates under SKETCH are no candidates (4 standard errors under SIMILARITY); texts compared at once; shingles counted at once.
-SKETCH, CHUNK, COLUMNS = 0.65, 256, 4096
+#: Estimates under SKETCH are no candidates (4 standard errors under SIMILARITY); texts compared at once; shingles of them, and different ones, at once.
+SKETCH, CHUNK, SHINGLES, COLUMNS = 0.65, 256, 400_000, 4096
 _RNG = np.random.default_rng(13)
 _A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -97,21 +97,41 @@ def _sets(vec: pa.Array) -> np.ndarray:
     return vec.to_numpy(zero_copy_only=False)
 
 
+def _parts(size: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of sets with SHINGLES shingles at most, or one set."""
+    ends, held = [0], 0
+    for k, n in enumerate(size.tolist()):
+        if held and held + n > SHINGLES:
+            ends.append(k)
+            held = 0
+        held += n
+    return list(zip(ends, [*ends[1:], len(size)]))
+
+
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Pairs at SIMILARITY or more; common shingles are counted by products of 0-1 matrices."""
-    sets = [np.frombuffer(v, np.uint64) for v in (*x, *y)]
-    size = np.array([len(s) for s in sets])
+    """Pairs at SIMILARITY or more; common shingles are counted by products of 0-1 matrices, some shingles at a time."""
+    a, b = ([np.frombuffer(v, np.uint64) for v in some] for some in (x, y))
+    m, n = (np.array([len(s) for s in some]) for some in (a, b))
+    out = np.zeros((len(a), len(b)), bool)
+    for a0, a1 in _parts(m):
+        for b0, b1 in _parts(n):
+            common = _common(a[a0:a1], b[b0:b1])
+            out[a0:a1, b0:b1] = common >= SIMILARITY * (m[a0:a1, None] + n[None, b0:b1] - common) - 1e-6  # counts are whole numbers
+    return out
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    sets = [*a, *b]
     _, code = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(code)
-    code, row = code[order], np.repeat(np.arange(len(sets)), size)[order]
-    common = np.zeros((len(x), len(y)))
+    code, row = code[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+    common = np.zeros((len(a), len(b)))
     for at in range(0, int(code[-1]) + 1, COLUMNS):
-        a, b = np.searchsorted(code, (at, at + COLUMNS))
+        first, last = np.searchsorted(code, (at, at + COLUMNS))
         held = np.zeros((len(sets), COLUMNS), np.float32)
-        held[row[a:b], code[a:b] - at] = 1
-        common += held[: len(x)] @ held[len(x) :].T
-    union = size[: len(x), None] + size[None, len(x) :] - common
-    return common >= SIMILARITY * union - 1e-6  # counts are whole numbers
+        held[row[first:last], code[first:last] - at] = 1
+        common += held[: len(a)] @ held[len(a) :].T
+    return common
 
 
 def _verified(docs: DataFrame, classes: DataFrame, maybe: DataFrame) -> DataFrame:

@@ -316,8 +316,10 @@ def test_similar_brute_force(spark):
     assert sorted(r.doc_id for r in got) == sorted({ids[r] for r in root})
 
 
-def test_similar_at_the_limit(spark):
+@pytest.mark.parametrize("shingles", [400_000, 300])
+def test_similar_at_the_limit(spark, monkeypatch, shingles):
     """Pairs at 0.78 to 0.85: the shingles decide, not their estimate."""
+    monkeypatch.setattr(similar, "SHINGLES", shingles)
     rng, rows, want = np.random.default_rng(6), [], []
     for k in range(63):
         words, m = [f"w{x}" for x in rng.integers(0, 5000, 200)], 16 + k % 9
