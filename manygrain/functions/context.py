@@ -2,7 +2,8 @@
 
 Whether a dimension is left out is only known per lowering (a grouping function, a constant, a
 lookup by set), so these helpers are values that the lowering resolves; arithmetic with them
-gives deferred values again.
+gives deferred values again. Inside any other expression they are Spark's grouping function,
+which only an aggregate over grouping sets accepts.
 """
 
 from __future__ import annotations
@@ -12,14 +13,22 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as Classic
 
 from ..errors import MarginError
 
 
-class Deferred:
+class Deferred(Classic):
+    def __new__(cls, *args) -> Deferred:
+        return object.__new__(cls)
+
     def __init__(self, columns: tuple[str, ...], build: Callable[[Callable[[str], Column]], Column]):
         self.columns, self._build = columns, build
 
+    @property
+    def _jc(self):
+        return self._build(lambda c: F.grouping(F.col("`" + c.replace("`", "``") + "`")))._jc
+
     def resolve(self, bit: Callable[[str], Column]) -> Column:
         return self._build(bit)
 
@@ -47,6 +56,9 @@ def _operators() -> None:
     for name in ("eq", "ne", "lt", "le", "gt", "ge", "and_", "or_"):
         op = getattr(operator, name)
         setattr(Deferred, f"__{name.rstrip('_')}__", lambda self, other, op=op: self._with(other, op))
+    for name in ("and_", "or_"):
+        op = getattr(operator, name)
+        setattr(Deferred, f"__r{name.rstrip('_')}__", lambda self, other, op=op: self._with(other, op, True))
 
 
 _operators()

@@ -1,4 +1,4 @@
-"""Markers for shares; only a whole summary can be one, so they have no operators."""
+"""Markers for shares; only a whole summary can be one, so their operators refuse."""
 
 from __future__ import annotations
 
@@ -13,6 +13,14 @@ class Share:
     source: str
 
 
+def _alone(self, *_):
+    raise MarginError(f"`share_of_{self.kind}()` must be a whole summary; nothing can be computed with it.")
+
+
+for _name in ("add", "radd", "sub", "rsub", "mul", "rmul", "truediv", "rtruediv", "mod", "rmod", "neg", "lt", "le", "gt", "ge", "and", "or", "invert"):
+    setattr(Share, f"__{_name}__", _alone)
+
+
 def _share(kind: str, source: str) -> Share:
     if not isinstance(source, str) or not source:
         raise MarginError(f"`share_of_{kind}()` takes the name of an earlier summary.")

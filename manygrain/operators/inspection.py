@@ -10,6 +10,8 @@ from ..plans.plan import compile_plan
 
 def inspect_grouping(df: DataFrame, *, by=None, grouping=None, duplicates: str = "error", format: str = "text") -> DataFrame:
     """set_id, fixed, included, omitted, grouping_bits, grouping_id in plan order; ``format`` is ``text`` or ``list``."""
+    if not isinstance(df, DataFrame):
+        raise MarginError(f"A DataFrame is needed, not {type(df).__name__}.")
     if format not in ("text", "list"):
         raise MarginError("`format` must be 'text' or 'list'.")
     plan = compile_plan(df.schema, by, grouping, duplicates)

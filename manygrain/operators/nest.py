@@ -1,4 +1,8 @@
-"""The source rows behind every group of every set, as an array of structs."""
+"""The source rows behind every group of every set, as an array of structs.
+
+A cell holds all rows of its group, and the grand total's cell the whole table, in one row of one
+task: these verbs are for groups that fit a task's memory. Larger ones are for expand_with_margins.
+"""
 
 from __future__ import annotations
 
@@ -49,6 +53,6 @@ def nest_by_with_margins(df: DataFrame, *, by=None, grouping=None, margin_label=
     if not op.plan.by and not op.plan.dims:
         kind = out.schema[key].dataType
         empty = df.where(F.lit(False)).agg(F.count(F.lit(1)).alias("n")).select(*([F.lit(1).alias(id)] if id else []), F.array().cast(kind).alias(key))
-        out = out.unionByName(empty.join(df.select(F.lit(1).alias("mg_any")).limit(1), F.lit(True), "left_anti"))
+        out = out.unionByName(empty.join(df.select(F.lit(1).alias(op.names.new("any"))).limit(1), F.lit(True), "left_anti"))
     out.margin_keys = [*op.plan.by, *op.plan.dims, *([id] if id else [])]
     return out

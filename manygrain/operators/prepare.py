@@ -77,7 +77,7 @@ class Operation:
         return F.when(place > 0, place)
 
 
-def prepare(df, by, grouping, margin_label, margin_label_position, check_margin_label, duplicates, id, sort, policies=POLICIES, keep_source: bool = False) -> Operation:
+def prepare(df, by, grouping, margin_label, margin_label_position, check_margin_label, duplicates, id, sort, policies=POLICIES) -> Operation:
     from pyspark.sql import DataFrame as Classic
 
     if not isinstance(df, Classic):
@@ -91,7 +91,7 @@ def prepare(df, by, grouping, margin_label, margin_label_position, check_margin_
     if id is not None and (not isinstance(id, str) or not id):
         raise MarginError("`id` must be a non-empty name.")
     plan = compile_plan(df.schema, by, grouping, duplicates, policies)
-    if id is not None and id.lower() in {c.lower() for c in (df.columns if keep_source else (*plan.by, *plan.dims, *df.columns))}:
+    if id is not None and id.lower() in {c.lower() for c in df.columns}:
         raise MarginError(f"`id` can't be `{id}`, a column of the data.")
     return Operation(df, plan, resolve_labels(plan, margin_label), margin_label_position, check_margin_label, id, sort, Names(df.columns))
 

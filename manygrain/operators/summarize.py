@@ -2,45 +2,78 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NullType, NumericType, StructField, StructType
+from pyspark.sql.window import Window
 
 from ..errors import MarginError
 from ..functions.context import Deferred
-from ..functions.selections import Across, ShareAcross, quoted
+from ..functions.selections import Across, Selected, ShareAcross, quoted
 from ..functions.shares import Share
-from .prepare import Operation, expanded, prepare, set_array, set_bits
+from .prepare import Operation, by_set, expanded, prepare, set_array, set_bits
 
 #: Columns that Spark's grouping sets take at most.
 NATIVE_COLUMNS = 64
+#: Copies of a grand total among which the rows that refer to it are dealt.
+SALTS = 256
+#: Plan nodes below which a look for one row reads one piece of one input.
+_CHEAP = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "Range", "View", "DataSourceV2Relation", "OneRowRelation"}
+#: Option names that a summary's keyword must not nearly spell.
+OPTIONS = ("grouping", "margin_label", "margin_label_position", "check_margin_label", "check_share_source", "duplicates", "method")
+
+
+def _near(a: str, b: str) -> bool:
+    """Whether one change of a letter turns ``a`` into ``b``."""
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    at = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[at + (len(a) >= len(b)) :] == b[at + (len(b) >= len(a)) :]
 
 
 def _summaries(op: Operation, given: tuple, named: dict) -> list[tuple[str, Column | Deferred | Share]]:
+    """Names and values in order; a name that is None stands for a struct whose fields are the results."""
     hidden = (*op.plan.by, *op.plan.dims)
+    for n in named:
+        if near := [o for o in OPTIONS if _near(n.lower(), o)]:
+            raise MarginError(f"`{n}` is no option; is `{near[0]}` meant? A summary of that name goes into a dict.")
     out: list[tuple] = []
-    for g in given:
+
+    def one(name: str, value):
+        if isinstance(value, ShareAcross):
+            raise MarginError(f"`{name}`: `share_across()` names its own results; pass it without a name.")
+        if isinstance(value, Across):
+            return F.struct(*[v.alias(n) for n, v in value.named(op.df.schema, hidden)])
+        return value.resolve(op.df.schema, hidden) if isinstance(value, Selected) else value
+
+    for g in (*given, named):
         if isinstance(g, Across):
             out += g.named(op.df.schema, hidden)
         elif isinstance(g, ShareAcross):
-            out += g.named()
+            earlier = [n for n, v in out if n is not None and not isinstance(v, Share)]
+            out += g.named(StructType([StructField(n, NullType()) for n in earlier]))
         elif isinstance(g, dict):
-            out += [x for n, v in g.items() for x in ([(n, v)] if not isinstance(v, (Across, ShareAcross)) else _bad(n))]
+            out += [(n, one(n, v)) for n, v in g.items()]
+        elif isinstance(g, (Column, Selected)) and not isinstance(g, Deferred):
+            out.append((None, one("a struct", g)))
         else:
-            raise MarginError(f"Summaries are dicts, `across()` or `share_across()`, not {type(g).__name__}.")
-    out += list(named.items())
+            raise MarginError(f"Summaries are dicts, `across()`, `share_across()` or structs, not {type(g).__name__}.")
     for n, v in out:
-        if not isinstance(v, (Column, Deferred, Share)):
+        if not isinstance(v, (Column, Share)):
             raise MarginError(f"Summary `{n}` must be a Column, a grouping helper or a share, not {type(v).__name__}.")
-        if isinstance(v, Deferred):
-            known = {h.lower() for h in hidden}
-            if unknown := [c for c in v.columns if c.lower() not in known]:
-                raise MarginError(f"`{n}` asks for the grouping of `{unknown[0]}`, which is no grouping column.")
+        asked = v.columns if isinstance(v, Deferred) else re.findall(r"grouping\(`?((?:[^()`]|``)*)`?\)", v._jc.toString()) if isinstance(v, Column) else ()
+        known = {h.lower() for h in hidden}
+        if unknown := [c for c in asked if c.replace("``", "`").lower() not in known]:
+            raise MarginError(f"`{n}` asks for the grouping of `{unknown[0]}`, which is no grouping column.")
     return out
 
 
-def _bad(name: str):
-    raise MarginError(f"`{name}`: `across()` names its own results; pass it without a name.")
+def _uses(value: Column, name: str) -> bool:
+    return re.search(rf"(?<![\w`.]){re.escape(name)}(?![\w`(])", value._jc.toString()) is not None
 
 
 def _check_shares(op: Operation, items: list[tuple], grouping) -> None:
@@ -50,8 +83,12 @@ def _check_shares(op: Operation, items: list[tuple], grouping) -> None:
         if isinstance(v, Share):
             if v.source not in seen:
                 raise MarginError(f"`{n}` needs an earlier summary `{v.source}`.")
-            if isinstance(seen[v.source], Share):
+            source = seen[v.source]
+            if isinstance(source, Share):
                 raise MarginError(f"`{n}` can't take the share of a share.")
+            own = {c.lower() for c in op.df.columns}
+            if other := [e for e in seen if e and e.lower() not in own and e != v.source and not isinstance(source, Deferred) and _uses(source, e)]:
+                raise MarginError(f"`{n}`: its source `{v.source}` is built on the summary `{other[0]}`; a share's source stands on the data alone.")
         seen[n] = v
     if any(v.kind == "parent" for _, v in shares) and (grouping is None or grouping.kind != "rollup"):
         raise MarginError("`share_of_parent()` needs a single `rollup()`.")
@@ -70,6 +107,9 @@ def _aggregate(op: Operation, items: list[tuple[str, Column | Deferred]], method
         return [(v.resolve(of) if isinstance(v, Deferred) else v).alias(n) for n, v in items]
 
     spare = [F.count(F.lit(1)).alias(op.names.new("rows"))]
+    inner = [n for n, v in items if not isinstance(v, Deferred) and "grouping(" in v._jc.toString()]  # helpers inside other expressions
+    if inner and (method == "explode" or len(plan.by) + len(plan.dims) > NATIVE_COLUMNS or not plan.by and not plan.dims):
+        raise MarginError(f"`{inner[0]}`: here a grouping helper must stand alone or in arithmetic.")
     if method == "explode" or len(plan.by) + len(plan.dims) > NATIVE_COLUMNS:
         rows, keys, set_name = expanded(op, distinct=True)
         bits = set_bits(op, F.col(set_name))
@@ -81,21 +121,21 @@ def _aggregate(op: Operation, items: list[tuple[str, Column | Deferred]], method
         columns = [F.col(quoted(c)) for c in (*plan.by, *plan.dims)]
         if not columns:
             out = df.agg(*spare, *resolved(lambda d: F.lit(1)))
-        elif not plan.dims:
+        elif not plan.dims and not inner:
             out = df.groupBy(*columns).agg(*spare, *resolved(lambda d: F.lit(1)))
         else:
             sets = [[F.col(quoted(c)) for c in (*plan.by, *plan.sets[i[0] - 1])] for i in plan.distinct.values()]
             out = df.groupingSets(sets, *columns).agg(*spare, *resolved(F.grouping), *[F.grouping(F.col(quoted(d))).cast("int").alias(bit_names[d]) for d in plan.dims])
         first = None
-    if plan.has_total and not plan.by and plan.dims and not df.isStreaming:
-        # grouping sets give no grand total for no rows; an aggregate of nothing does, and is kept
-        # only if the data have no row (a look for one row, not a second pass)
+    if plan.has_total and not plan.by and plan.dims and not df.isStreaming and not inner:
+        # grouping sets give no grand total for no rows; an aggregate of nothing does
         nothing = df.where(F.lit(False)).agg(*spare, *resolved(lambda d: F.lit(1)))
         fixed = {n: F.lit(1) for n in bit_names.values()} | {keys[d]: F.lit(None) for d in plan.dims}
         if first is not None:
             fixed[set_name] = F.lit(plan.sets.index(()) + 1)
         nothing = nothing.select(*[fixed[f.name].cast(f.dataType).alias(f.name) if f.name in fixed else F.col(quoted(f.name)) for f in out.schema.fields])
-        out = out.unionByName(nothing.join(df.select(F.lit(1).alias(op.names.new("any"))).limit(1), F.lit(True), "left_anti"))
+        total = reduce(lambda x, y: x & y, [F.col(n) == 1 for n in bit_names.values()])
+        out = _or_nothing(op, out, nothing, total, [keys[d] for d in plan.dims])
     bits = {d: F.col(bit_names[d]) for d in plan.dims}
     ids = list(plan.distinct.items())
     if first is None:
@@ -112,7 +152,12 @@ def _numeric(rows: DataFrame, name: str, source: str) -> None:
 
 
 def _with_shares(op: Operation, rows: DataFrame, keys: dict[str, str], set_name: str, shares: list[tuple[str, Share]]) -> DataFrame:
-    """One join per kind; keys are matched null-safe, dimensions that the target leaves out are masked."""
+    """One window per kind over the aggregated rows, so that they are computed once.
+
+    A row that others refer to is repeated as a target; the window over (target set, ``by``, the target's
+    dimensions) hands its value to them, null keys being equal. Without ``by`` the grand total is
+    repeated SALTS times, and what refers to it is dealt among them.
+    """
     plan = op.plan
     for kind in ("parent", "total"):
         wanted = [(n, s) for n, s in shares if s.kind == kind]
@@ -121,64 +166,95 @@ def _with_shares(op: Operation, rows: DataFrame, keys: dict[str, str], set_name:
         targets = plan.parent_targets() if kind == "parent" else plan.total_targets()
         children = {i: t for i, t in targets.items() if t is not None}
         own = [i for i, t in targets.items() if t is None]
-        sources = list(dict.fromkeys(s.source for _, s in wanted))
-        num = {s: F.col(quoted(s)).cast("double") for s in sources}
         if not children:
             rows = rows.withColumns({n: F.lit(1.0) for n, _ in wanted})
             continue
-        den_names = {s: op.names.new("den") for s in sources}
-        of: dict[int, list[int]] = {}
-        for c, t in children.items():
-            of.setdefault(t, []).append(c)
-        child_name, conditions, columns = op.names.new("child"), [], []
-        for b in plan.by:
-            n = op.names.new("by")
-            columns.append(F.col(quoted(keys[b])).alias(n))
-            conditions.append(F.col(quoted(keys[b])).eqNullSafe(F.col(n)))
-        masked = {}
+        sources = list(dict.fromkeys(s.source for _, s in wanted))
+        num = {s: F.col(quoted(s)).cast("double") for s in sources}
+        role, set_id = op.names.new("role"), F.col(set_name)
+        spread = [t for t in set(children.values()) if not plan.by and not plan.sets[t - 1]]
+        hashed = F.pmod(F.xxhash64(set_id, *[F.col(quoted(keys[c])) for c in (*plan.by, *plan.dims)]), F.lit(SALTS)).cast("int")
+        target = by_set(set_id, {i: children.get(i, 0) for i in plan.ids})
+        salt = F.when(target.isin([0, *spread]), hashed).otherwise(0)
+        entry = lambda is_target, of, salt: F.struct(F.lit(is_target).alias("target"), of.cast("int").alias("of"), salt.cast("int").alias("salt"))
+        as_child, as_target = F.array(entry(False, target, salt)), F.array(entry(True, set_id, F.lit(0)))
+        repeated = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: entry(True, set_id, k))
+        referred = sorted(set(children.values()))
+        roles = F.when(set_id.isin(spread), F.concat(as_child, repeated)) if spread else F
+        plain = [t for t in referred if t not in spread]
+        if plain:
+            roles = roles.when(set_id.isin(plain), F.concat(as_child, as_target))
+        rows = rows.withColumn(role, F.explode(roles.otherwise(as_child)))
+        parts = [F.col(f"{role}.of"), F.col(f"{role}.salt"), *[F.col(quoted(keys[b])) for b in plan.by]]
         if kind == "parent":
             for d in plan.dims:
-                inside = [i for i, t in children.items() if d in plan.sets[t - 1]]
+                inside = [t for t in referred if d in plan.sets[t - 1]]
                 if inside:
-                    n, m = op.names.new("dim"), op.names.new("mask")
-                    columns.append(F.col(quoted(keys[d])).alias(n))
-                    masked[m] = F.when(F.col(set_name).isin(inside), F.col(quoted(keys[d])))
-                    conditions.append(F.col(m).eqNullSafe(F.col(n)))
-        choice = F.col(set_name).isin(list(of))
-        if kind == "total":
-            right = rows.where(choice).select(*columns, *[num[s].alias(den_names[s]) for s in sources])
-            condition = F.lit(True) if not conditions else conditions[0]
-            for c in conditions[1:]:
-                condition = condition & c
-            # without `by` the grand total is one row
-            rows = rows.join(F.broadcast(right) if not plan.by else right, condition, "left")
-        else:
-            kids = F.get(F.array(*[set_array(of.get(i, [])).cast("array<int>") for i in plan.ids]), F.col(set_name) - 1)
-            right = rows.where(choice).select(F.explode(kids).alias(child_name), *columns, *[num[s].alias(den_names[s]) for s in sources])
-            condition = F.col(set_name) == F.col(child_name)
-            for c in conditions:
-                condition = condition & c
-            rows = rows.withColumns(masked).join(right, condition, "left")
+                    parts.append(F.when(F.col(f"{role}.of").isin(inside), F.col(quoted(keys[d]))))
+        window, is_target = Window.partitionBy(*parts), F.col(f"{role}.target")
+        rows = rows.withColumns({n: F.max(F.when(is_target, num[s.source])).over(window) for n, s in wanted}).where(~is_target)
         for n, s in wanted:
-            top, den = num[s.source], F.col(den_names[s.source])
+            top, den = num[s.source], F.col(quoted(n))
             void = top.isNull() | F.isnan(top) | den.isNull() | F.isnan(den) | (den == 0)
             ratio = F.when(void, F.lit(None).cast("double")).otherwise(top / den)
-            rows = rows.withColumn(n, F.when(F.col(set_name).isin(own), F.lit(1.0)).otherwise(ratio) if own else ratio)
+            rows = rows.withColumn(n, F.when(set_id.isin(own), F.lit(1.0)).otherwise(ratio) if own else ratio)
+        rows = rows.drop(role)
     return rows
 
 
+def _reads_only(df: DataFrame) -> bool:
+    """Whether looking for one row is cheap: a scan without joins, aggregates or sorts."""
+    def cheap(node) -> bool:
+        name = node.getClass().getSimpleName()
+        kids = node.children()
+        return name in _CHEAP and kids.size() <= 1 and all(cheap(kids.apply(k)) for k in range(kids.size()))
+
+    try:
+        return cheap(df._jdf.queryExecution().analyzed())
+    except Exception:  # no plan at hand (a remote session)
+        return False
+
+
+def _or_nothing(op: Operation, out: DataFrame, nothing: DataFrame, total: Column, keys: list[str]) -> DataFrame:
+    """``out``, or ``nothing`` (one row) if the data have no row.
+
+    Over a plain scan a look for one row decides; else the grand total's own presence does, so that
+    nothing below the aggregate runs twice.
+    """
+    if _reads_only(op.df):
+        return out.unionByName(nothing.join(op.df.select(F.lit(1).alias(op.names.new("any"))).limit(1), F.lit(True), "left_anti"))
+    spare, slot = op.names.new("spare"), op.names.new("slot")
+    both = out.withColumn(spare, F.lit(False)).unionByName(nothing.withColumn(spare, F.lit(True)))
+    dealt = F.pmod(F.xxhash64(*[F.col(quoted(k)) for k in keys]), F.lit(SALTS)) + 1
+    both = both.withColumn(slot, F.when(total | F.col(spare), F.lit(0)).otherwise(dealt))
+    found = F.max(F.when(~F.col(spare) & (F.col(slot) == 0), 1)).over(Window.partitionBy(slot))
+    return both.withColumn(slot, found).where(~F.col(spare) | F.col(slot).isNull()).drop(spare, slot)
+
+
 def summarize_with_margins(df: DataFrame, *summaries, by=None, grouping=None, margin_label="Total", margin_label_position: str = "last", check_margin_label: bool = False,
                            check_share_source: bool = True, duplicates: str = "error", id: str | None = None, sort: str = "none", method: str = "native", **named) -> DataFrame:
     """Aggregate at every grouping set; fixed keys, dimensions, ``id``, then the summaries as written.
 
-    Summaries are given as dicts, ``across()``, ``share_across()`` or keywords. Dimensions left
+    Summaries are given as dicts, ``across()``, ``share_across()`` or keywords; a struct without a
+    name gives one result for each field. Grouping helpers may stand inside any expression; alone or
+    in arithmetic they also work with "explode" and in the grand total of data without rows, which
+    is left out if one stands deeper. Dimensions left
     out show their label. No job runs unless ``check_margin_label`` asks for one. Data without
     rows give one grand total if that is a set and there is no ``by``. ``method="explode"``
     expands rows before the aggregate instead of using grouping sets (always beyond 64 columns).
     """
+    if method not in ("native", "explode"):
+        raise MarginError("`method` must be 'native' or 'explode'.")
+    if not isinstance(check_share_source, bool):
+        raise MarginError("`check_share_source` must be True or False.")
     op = prepare(df, by, grouping, margin_label, margin_label_position, check_margin_label, duplicates, id, sort)
     items = _summaries(op, summaries, named)
-    op.check_outputs([n for n, _ in items])
+    op.check_outputs([n for n, _ in items if n is not None])
+    packed = {}
+    for k, (n, v) in enumerate(items):
+        if n is None:
+            items[k] = (op.names.new("struct"), v)
+            packed[items[k][0]] = None
     _check_shares(op, items, grouping)
     op.check_labels()
     plain = [(n, v) for n, v in items if not isinstance(v, Share)]
@@ -187,7 +263,21 @@ def summarize_with_margins(df: DataFrame, *summaries, by=None, grouping=None, ma
         op.names.taken.add(n.lower())
     if op.id:
         op.names.taken.add(op.id.lower())
-    rows, keys, bits, (first, needed) = _aggregate(op, plain, method)
+    try:
+        rows, keys, bits, (first, needed) = _aggregate(op, plain, method)
+    except AnalysisException as e:
+        if taken := [n for n, _ in shares if f"`{n}`" in str(e).partition("Did you mean")[0]]:
+            raise MarginError(f"A summary can't use the share `{taken[0]}`; shares come last.") from e
+        raise
+    for name in packed:
+        kind = rows.schema[name].dataType
+        if not isinstance(kind, StructType):
+            raise MarginError("A summary without a name must be a struct, whose fields become results.")
+        packed[name] = kind.names
+    outputs = [x for n, _ in items for x in (packed[n] if n in packed else [n])]
+    if packed:
+        op.check_outputs(outputs)
+        rows = rows.withColumns({f: F.col(quoted(n)).getField(f) for n, fields in packed.items() for f in fields}).drop(*packed)
     set_id = None
     if needed or shares:
         set_name = op.names.new("id")
@@ -202,7 +292,7 @@ def summarize_with_margins(df: DataFrame, *summaries, by=None, grouping=None, ma
                 for n, s in shares:
                     _numeric(rows, n, s.source)
             rows = _with_shares(op, rows, keys, set_name, shares)
-    return op.finish(rows, keys, bits, set_id, [n for n, _ in items])
+    return op.finish(rows, keys, bits, set_id, outputs)
 
 
 summarise_with_margins = summarize_with_margins

@@ -20,8 +20,13 @@ NA = _Missing()
 
 
 def categorical(df: DataFrame, column: str, levels: list[str], ordered: bool = False) -> DataFrame:
-    """Declare the levels of a string column (as column metadata); reports sort by them."""
-    return df.withMetadata(column, {"levels": list(levels), "ordered": ordered})
+    """Declare the levels of a string column (as column metadata); reports sort by them. None among them declares missing values as a level."""
+    return df.withMetadata(column, {"levels": [v for v in levels if v is not None], "ordered": ordered, "na_level": None in levels})
+
+
+def is_na_level(schema: StructType, column: str) -> bool:
+    """Whether missing values are a declared level of a categorical column, not just absent values."""
+    return bool((schema[column].metadata or {}).get("na_level"))
 
 
 def levels_of(schema: StructType, column: str) -> list[str] | None:
@@ -50,6 +55,8 @@ def check_declared(schema: StructType, labels: dict[str, object]) -> None:
     for d, text in labels.items():
         if isinstance(text, str) and text in (levels_of(schema, d) or []):
             raise MarginError(f"Label {text!r} is a level of `{d}`.")
+        if text is NA and is_na_level(schema, d):
+            raise MarginError(f"The missing value is a level of `{d}`; it can't be its label.")
 
 
 def check_observed(df: DataFrame, labels: dict[str, object]) -> None:

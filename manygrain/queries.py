@@ -11,15 +11,19 @@ from pyspark.sql.window import Window
 from . import (
     across,
     cube,
+    everything,
     expand_with_margins,
     grouping_bit,
     grouping_id,
     grouping_set,
     grouping_sets,
     grouping_spec,
+    if_all,
+    if_any,
     inspect_grouping,
     nest_by_with_margins,
     nest_with_margins,
+    pick,
     rollup,
     share_across,
     share_of_parent,
@@ -203,6 +207,28 @@ def across_multi(df):
     return summarize_with_margins(df.select("l_returnflag", "l_orderkey", "l_partkey", "l_suppkey"), across(starts_with("l_"), {"lo": F.min, "hi": F.max}), grouping=rollup("l_returnflag"))
 
 
+@query("orders", f"SELECT {total('o_orderstatus')}, {total('o_orderpriority')}, CASE WHEN GROUPING(o_orderstatus) = 1 THEN 'all' WHEN GROUPING(o_orderpriority) = 1 THEN 'status' ELSE 'cell' END AS level, CAST(CASE WHEN GROUPING(o_orderpriority) = 1 THEN count(*) ELSE -count(*) END AS BIGINT) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def helper_in_case(df):
+    level = F.when(grouping_bit("o_orderstatus") == 1, "all").when(grouping_bit("o_orderpriority") == 1, "status").otherwise("cell")
+    return summarize_with_margins(df, {"level": level, "n": F.when(grouping_bit("o_orderpriority") == 1, count_()).otherwise(-count_())}, grouping=rollup("o_orderstatus", "o_orderpriority"))
+
+
+@query("lineitem", f"SELECT {total('l_returnflag')}, count(*) FILTER (l_linenumber > 5 OR l_suppkey > 5) AS some, count(*) FILTER (l_linenumber > 5 AND l_suppkey > 5) AS every, count(*) AS picked FROM lineitem GROUP BY ROLLUP (l_returnflag)")
+def if_any_if_all(df):
+    some, big = df.select("l_returnflag", "l_linenumber", "l_suppkey"), lambda c: c > 5
+    return summarize_with_margins(some, {"some": if_any(everything(), big).then(F.count_if), "every": if_all(everything(), big).then(F.count_if), "picked": pick(everything()).then(F.count)}, grouping=rollup("l_returnflag"))
+
+
+@query("orders", f"SELECT {total('o_orderstatus')}, count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders GROUP BY ROLLUP (o_orderstatus)")
+def struct_unpacked(df):
+    return summarize_with_margins(df, {"n": count_()}, F.struct(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high")), grouping=rollup("o_orderstatus"))
+
+
+@query("lineitem", f"SELECT {total('l_returnflag')}, CAST(sum(l_linenumber) AS BIGINT) AS l_lines, count(*) AS n, round(sum(l_linenumber)::DOUBLE / (SELECT sum(l_linenumber) FROM lineitem), 9) AS l_lines_part FROM lineitem GROUP BY ROLLUP (l_returnflag)")
+def share_selected(df):
+    return summarize_with_margins(df, {"l_lines": F.sum("l_linenumber"), "n": count_()}, share_across(starts_with("l_"), "total", "{col}_part"), grouping=rollup("l_returnflag")).withColumn("l_lines_part", F.round("l_lines_part", 9))
+
+
 @query("lineitem", f"SELECT {total('l_returnflag')}, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines, round(count(*)::DOUBLE / (SELECT count(*) FROM lineitem), 9) AS n_part, round(sum(l_linenumber)::DOUBLE / (SELECT sum(l_linenumber) FROM lineitem), 9) AS lines_part FROM lineitem GROUP BY ROLLUP (l_returnflag)")
 def across_share(df):
     out = summarize_with_margins(df, {"n": count_(), "lines": F.sum("l_linenumber")}, share_across(["n", "lines"], "total", "{col}_part"), grouping=rollup("l_returnflag"))
