@@ -145,7 +145,8 @@ def link_fingerprints(reps: DataFrame, radius: int) -> DataFrame:
     """Edges a, b among the nodes of ``reps`` (node long, fp long, fp distinct) that connect what lies within ``radius``.
 
     The tree's vantage points come from the SAMPLE fingerprints with the smallest hashes; its
-    depth follows the count, so leaves stay near LEAF rows.
+    depth follows the count, so leaves stay near LEAF rows, up to SAMPLE / 8 leaves. Larger leaves
+    are searched by vantage points of their own, inside their task.
     """
     n = reps.count()
     if n < 2:
