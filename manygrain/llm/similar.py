@@ -87,10 +87,10 @@ def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _shingled(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([shingles(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["bucket", "node", "vec"])
+            sets = pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["node", "vec"])
 
-    return texts.select("bucket", "node", "text").mapInArrow(run, "bucket long, node long, vec binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, vec binary")
 
 
 def _sets(vec: pa.Array) -> np.ndarray:
@@ -139,7 +139,7 @@ def _verified(docs: DataFrame, classes: DataFrame, maybe: DataFrame) -> DataFram
     members = stored(classes.join(maybe, "node").select("node", "doc_id", "th", F.col("component").alias("bucket")), "members")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(beside(members), ["doc_id", "th"])
     sets = stored(_shingled(texts), "shingles")
-    edges = link_buckets(sets, _sets, _near, CHUNK)
+    edges = link_buckets(members.select("bucket", "node"), sets, _sets, _near, CHUNK)
     drop_stored(members, sets)
     return edges
 
@@ -162,9 +162,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     reps = kept(classes.groupBy("fp").agg(F.min("node").alias("node")), "reps")
     equal = classes.join(reps.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
     banded = kept(_banded(classes), "banded")
-    met = banded.join(banded.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket")
-    tables = met.join(classes.select("node", "vec"), "node").select("bucket", "node", "vec")
-    maybe = link_fingerprints(reps, RADIUS).unionByName(equal).unionByName(link_buckets(tables, _load, _alike, CHUNK))
+    maybe = link_fingerprints(reps, RADIUS).unionByName(equal).unionByName(link_buckets(banded, classes.select("node", "vec"), _load, _alike, CHUNK))
     linked = connected_components(maybe)
     edges = _verified(docs, classes, linked)
     rows = kept(known.join(classes.select("fp", "vec", "node"), ["fp", "vec"]).select("doc_id", "node").distinct(), "rows")

@@ -82,7 +82,7 @@ def by_group(df: DataFrame, keys: list[str], body: Callable[[pa.Table], pa.Table
 
 
 def hashed(classes: DataFrame, n: int, cosine: float, seed: int = 5) -> DataFrame:
-    """bucket, node, vec: a row for each class and table. Vectors of another length never share a bucket."""
+    """bucket, node: a row for each class and table. Vectors of another length never share a bucket."""
     width, k, tables = shape(n, cosine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,10 +101,9 @@ def hashed(classes: DataFrame, n: int, cosine: float, seed: int = 5) -> DataFram
                 keys = np.add.reduce(cells.reshape(len(at), tables, k), axis=2)
                 keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(tables, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(d)
                 for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, t].copy().view(np.int64)), ids, some], names=["bucket", "node", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, t].copy().view(np.int64)), ids], names=["bucket", "node"])
 
-    kind = classes.schema["vec"].dataType.simpleString()
-    return classes.select("node", "vec").mapInArrow(run, f"bucket long, node long, vec {kind}")
+    return classes.select("node", "vec").mapInArrow(run, "bucket long, node long")
 
 
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.Table:
@@ -116,8 +115,11 @@ def by_cosine(cosine: float) -> tuple[Callable, Callable]:
     return units, lambda x, y: x @ y.T >= cosine
 
 
-def link_buckets(tables: DataFrame, load: Callable, near: Callable, chunk: int = CHUNK) -> DataFrame:
-    """Edges that connect all rows of a bucket that ``near`` joins. tables: bucket, node, vec."""
+def link_buckets(tables: DataFrame, vectors: DataFrame, load: Callable, near: Callable, chunk: int = CHUNK) -> DataFrame:
+    """Edges that connect all rows of a bucket that ``near`` joins. tables (written): bucket, node; vectors: node, vec.
+
+    What is dealt and kept by bucket are numbers; a vector is fetched where its bucket's chunk is compared.
+    """
 
     def pairs(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for a in range(0, len(x), chunk):
@@ -137,7 +139,7 @@ def link_buckets(tables: DataFrame, load: Callable, near: Callable, chunk: int =
     sizes = stored(tables.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1"), "sizes")
     placed = tables.join(beside(sizes), "bucket").withColumn("chunk", bucket_of(F.col("node"), F.col("bucket"), buckets=1 << 30) % F.ceil(F.col("rows") / chunk).cast("int"))
     placed = stored(placed, "placed")
-    edges = stored(by_group(placed.select("bucket", "chunk", "node", "vec"), ["bucket", "chunk"], within, "a long, b long").distinct(), "edges")
+    edges = stored(by_group(placed.select("bucket", "chunk", "node").join(vectors, "node"), ["bucket", "chunk"], within, "a long, b long").distinct(), "edges")
     large = placed.where(F.col("rows") > chunk)
     if large.isEmpty():
         drop_stored(placed, sizes)
@@ -149,8 +151,8 @@ def link_buckets(tables: DataFrame, load: Callable, near: Callable, chunk: int =
     main = large.groupBy("bucket", "part").count().groupBy("bucket").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
     placed, large = large, large.join(main, "bucket")
     chunks = F.sequence(F.lit(0), F.ceil(F.col("rows") / chunk).cast("int") - 1)
-    guests = large.where("part <> main").select("bucket", F.explode(chunks).alias("chunk"), "node", "part", "vec", F.lit(1).alias("guest"))
-    hosts = large.select("bucket", "chunk", "node", "part", "vec", F.lit(0).alias("guest"))
+    guests = large.where("part <> main").select("bucket", F.explode(chunks).alias("chunk"), "node", "part", F.lit(1).alias("guest"))
+    hosts = large.join(guests.select("bucket").distinct(), "bucket").select("bucket", "chunk", "node", "part", F.lit(0).alias("guest"))
 
     def across(group: pa.Table) -> pa.Table:
         guest, part = (group.column(c).to_numpy() for c in ("guest", "part"))
@@ -166,16 +168,22 @@ def link_buckets(tables: DataFrame, load: Callable, near: Callable, chunk: int =
                 found.update(zip(i[i != j].tolist(), j[i != j].tolist()))
         return _edges(*zip(*found)) if found else _edges([], [])
 
-    more = stored(by_group(hosts.unionByName(guests), ["bucket", "chunk"], across, "a long, b long").distinct(), "edges")
+    met = hosts.unionByName(guests).join(vectors, "node")
+    more = stored(by_group(met, ["bucket", "chunk"], across, "a long, b long").distinct(), "edges")
     drop_stored(placed)
     return edges.unionByName(more)
 
 
 def count_links(members: DataFrame, cosine: float, block: int = CHUNK // 2) -> DataFrame:
-    """node, links: the weight of all other classes of its component at ``cosine`` or more. members: component, node, weight, vec."""
+    """node, links: the weight of all other classes of its component at ``cosine`` or more. members: component, node, weight, vec.
+
+    A row is copied to one task per block of its component; blocks have ``block`` rows, and up to
+    eight times as many in components of over 64 blocks.
+    """
     sizes = members.groupBy("component").agg(F.count("*").alias("rows"))
     sizes = stored(sizes, "sizes")
-    rows = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("rows") / block).cast("int"))
+    wide = F.greatest(F.lit(block), F.least(F.lit(8 * block), F.ceil(F.col("rows") / 64)))
+    rows = members.join(beside(sizes), "component").withColumn("blocks", F.ceil(F.col("rows") / wide).cast("int"))
     rows = rows.withColumn("own", bucket_of(F.col("node"), buckets=1 << 30) % F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
     rows = rows.withColumn("pair", F.explode(pairs)).select("component", "pair.i", "pair.j", "own", "node", "weight", "vec")
@@ -184,11 +192,17 @@ def count_links(members: DataFrame, cosine: float, block: int = CHUNK // 2) -> D
         i, j, own, node, weight = (group.column(c).to_numpy() for c in ("i", "j", "own", "node", "weight"))
         x = units(group.column("vec").combine_chunks())
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        near = x[left] @ x[right].T >= cosine
+        ours, theirs = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+        for a in range(0, len(left), block):
+            some = left[a : a + block]
+            near = x[some] @ x[right].T >= cosine
+            if i[0] == j[0]:
+                near[np.arange(len(some)), np.arange(a, a + len(some))] = False
+            ours[a : a + block] = near @ weight[right]
+            theirs += near.T @ weight[some]
         if i[0] == j[0]:
-            np.fill_diagonal(near, False)
-            return pa.table({"node": pa.array(node[left], pa.int64()), "links": pa.array(near @ weight[right], pa.int64())})
-        return pa.table({"node": pa.array(np.concatenate([node[left], node[right]]), pa.int64()), "links": pa.array(np.concatenate([near @ weight[right], near.T @ weight[left]]), pa.int64())})
+            return pa.table({"node": pa.array(node[left], pa.int64()), "links": pa.array(ours)})
+        return pa.table({"node": pa.array(np.concatenate([node[left], node[right]]), pa.int64()), "links": pa.array(np.concatenate([ours, theirs]))})
 
     out = by_group(rows, ["component", "i", "j"], counted, "node long, links long")
     return out.groupBy("node").agg(F.sum("links").alias("links"))
@@ -206,8 +220,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     rows = vectors.select("vec_id", F.col("embedding").alias("vec")).withColumn("sound", F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull())
     classes = rows.where("sound").groupBy("vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
     classes = stored(classes, "classes")
-    edges = link_buckets(hashed(classes, classes.count(), cosine), *by_cosine(cosine), CHUNK)
-    components = stored(connected_components(edges), "components")
+    tables = stored(hashed(classes, classes.count(), cosine), "tables")
+    edges = link_buckets(tables, classes.select("node", "vec"), *by_cosine(cosine), CHUNK)
+    drop_stored(tables)
+    components = connected_components(edges)
     inside = classes.join(components, "node")
     links = count_links(inside.select("component", "node", "weight", "vec"), cosine, CHUNK // 2)
     known = stored(classes.join(components, "node", "left").join(links, "node", "left").select("vec", F.coalesce("component", "node").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.lit(True).alias("sound")), "known")

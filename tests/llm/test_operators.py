@@ -56,6 +56,31 @@ def test_addressable_codes():
         assert all(token_files.token_at(packed, i) == ids[i] for i in range(0, len(ids), 7))
 
 
+def test_tokens_from_disk(spark, docs, tmp_path):
+    """Any token, by its place or by document, from a few bytes of the named files."""
+    path = f"{tmp_path}/tokens"
+    written = token_files.write_tokens(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), default_vocabulary(), 1, segment=100, path=path)
+    digests = token_files.read_digests(written).collect()
+    where = spark.createDataFrame([tuple(r)[:3] for r in digests], "doc_id long, start long, n_tokens long")
+    tokenizer, tokens = Encoder.of(default_vocabulary()).tokenizer, token_files.Tokens(spark, path)
+    assert written.count() > 3
+    for r in digests:
+        ids = [*tokenizer.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids, 1]
+        for i in {0, len(ids) // 2, len(ids) - 1}:
+            assert tokens.at(r.start + i) == ids[i]
+        assert tokens.of(where, r.doc_id, len(ids) - 1) == 1
+    for bad, kind in ((lambda: tokens.at(-1), IndexError), (lambda: tokens.at(10**9), IndexError), (lambda: tokens.of(where, 77, 0), KeyError), (lambda: tokens.of(where, 1, 5), IndexError)):
+        with pytest.raises(kind):
+            bad()
+    last = max(digests, key=lambda r: r.start)
+    tokens.at(last.start)
+    remote = next(reversed(tokens.held.values()))[0]
+    before = remote.fetched
+    tokens.at(last.start)
+    assert 0 < remote.fetched - before < 300
+    tokens.close()
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a [INST] \\ [\\INST] </s>"), (1, 1, "assistant", "b"), (2, 0, "assistant", None), (3, None, None, "x"), (3, 2, "tool", "</s>[AS]"), (1, 1, "assistant", "b"), (None, 0, "user", "q")]
     chats = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
@@ -286,7 +311,7 @@ def test_vectors_chunks(spark, monkeypatch):
     seen = []
     link, count = vectors.link_buckets, vectors.count_links
     monkeypatch.setattr(vectors, "CHUNK", 16)
-    monkeypatch.setattr(vectors, "link_buckets", lambda t, load, near, chunk=1024: seen.append(chunk) or link(t, load, near, chunk))
+    monkeypatch.setattr(vectors, "link_buckets", lambda t, v, load, near, chunk=1024: seen.append(chunk) or link(t, v, load, near, chunk))
     monkeypatch.setattr(vectors, "count_links", lambda m, cosine, block=512: seen.append(block) or count(m, cosine, block))
     vectors.near_vectors(spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])], "vec_id long, embedding array<float>"))
     assert seen == [16, 8]
