@@ -60,22 +60,24 @@ def _clean() -> None:
 _SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, path: str | None = None, **options) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: a lost executor loses none of it.
 
-    The write's shuffle files go when it ends, as the table stands in for them.
+    The write's shuffle files go when it ends, as the table stands in for them. With a ``path`` the
+    table is written there and stays; else it goes when the program ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    spark, named = df.sparkSession, path
+    path = path or f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     before = {k: spark.conf.get(k, None) for k in _SETTINGS}
     try:
         for k, v in _SETTINGS.items():
             spark.conf.set(k, v)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**{"compression": "zstd", **options}).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    _written.append((spark, path))
+    if not named:
+        _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -104,21 +106,29 @@ def bucket_of(*cols: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int")
 
 
-def ranked(df: DataFrame, key: str, spread: Sequence[str], order: Sequence[Column], buckets: int = 32) -> tuple[DataFrame, dict, dict]:
+#: Rows of a key that are numbered in one task, about.
+RANKED = 1 << 20
+
+
+def ranked(df: DataFrame, key: str, spread: Sequence[str], order: Sequence[Column], least: int = 32) -> tuple[DataFrame, dict, dict]:
     """Number the rows of each key from 0 without gaps, without one task per key.
 
-    Rows of a key are dealt to ``buckets`` by a hash of ``spread``; a window numbers each
-    (key, bucket), the counts of all (key, bucket) are collected and give the offsets.
-    The caller bounds the number of keys; what is collected is keys x buckets rows.
-    Adds ``_bucket`` and ``_row`` (from 0); returns also {(key, bucket): offset} and {key: rows}.
+    Rows of a key are dealt to ``least`` buckets, or one for RANKED rows, by a hash of ``spread``; a
+    window numbers each (key, bucket), the counts of all (key, bucket) are collected and give the
+    offsets. The caller bounds the number of keys; what is collected is one number per key and bucket.
+    Adds ``_bucket`` and ``_row`` (from 0); returns also {key: offsets by bucket} and {key: rows}. ``df``: a written table.
     """
-    df = df.withColumn("_bucket", bucket_of(*[F.col(c) for c in spread], buckets=buckets))
-    counts = df.groupBy(key, "_bucket").count().collect()
+    totals = {r[0]: r[1] for r in df.groupBy(key).count().collect()}
+    many = {k: -(-n // RANKED) for k, n in totals.items() if n > least * RANKED}
+    buckets = F.coalesce(F.create_map(*[F.lit(x) for k, n in many.items() for x in (k, n)])[F.col(key)], F.lit(least)) if many else F.lit(least)
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(c) for c in spread]), buckets).cast("int"))
+    counts = {(r[0], r[1]): r[2] for r in df.groupBy(key, "_bucket").count().collect()}
     offsets: dict = {}
-    totals: dict = {}
-    for k, b, n in sorted(tuple(r) for r in counts):
-        offsets[(k, b)] = totals.get(k, 0)
-        totals[k] = totals.get(k, 0) + n
+    for k in totals:
+        at, offsets[k] = 0, []
+        for b in range(many.get(k, least)):
+            offsets[k].append(at)
+            at += counts.get((k, b), 0)
     window = Window.partitionBy(key, "_bucket").orderBy(*order)
     return df.withColumn("_row", F.row_number().over(window).cast("long") - 1), offsets, totals
 

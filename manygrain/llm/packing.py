@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from .common import ranked, stored
 from .tokens import Encoder, default_vocabulary
 
-BUCKETS = 32
-
 
 def plan_lengths(counts: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
     """For each length, rows (first rank, per sequence, first sequence, first offset), by first rank.
@@ -89,25 +87,22 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) ->
 def place(pieces: DataFrame, capacity: int) -> DataFrame:
     """Add sequence_id and offset to pieces of 1 to ``capacity`` tokens.
 
-    Ranks within a length are dealt over buckets, so a length that holds most rows is no single
-    task. Collected are at most capacity x 32 counts.
+    Ranks within a length are dealt over buckets that follow its count, so a length that holds most
+    rows is no single task. Collected is a count for each length and bucket.
     """
     order = [F.col(c) for c in ("doc_id", "piece", "ids_crc32", "start")]
-    rows, offsets, totals = ranked(pieces, "length", ["doc_id", "piece", "ids_crc32"], order, BUCKETS)
-    plan = plan_lengths(totals, capacity)
-    base = np.zeros((capacity + 1, BUCKETS), np.int64)
-    for (length, bucket), at in offsets.items():
-        base[length, bucket] = at
-    shared = rows.sparkSession.sparkContext.broadcast((base, plan))  # at most capacity x 32 offsets, and the plan's entries
+    rows, offsets, totals = ranked(pieces, "length", ["doc_id", "piece", "ids_crc32"], order)
+    base = {n: np.array(at, np.int64) for n, at in offsets.items()}
+    shared = rows.sparkSession.sparkContext.broadcast((base, plan_lengths(totals, capacity)))  # offsets of the buckets, and the plan's entries
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, plan = shared.value
         for batch in batches:
             length, bucket, row = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "_bucket", "_row"))
-            rank = base[length, bucket] + row
-            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+            rank, sequence, offset = np.zeros((3, len(row)), np.int64)
             for n in np.unique(length):
                 at = np.flatnonzero(length == n)
+                rank[at] = base[int(n)][bucket[at]] + row[at]
                 entry = plan[int(n)][np.searchsorted(plan[int(n)][:, 0], rank[at], side="right") - 1]
                 k = rank[at] - entry[:, 0]
                 sequence[at], offset[at] = entry[:, 2] + k // entry[:, 1], entry[:, 3] + k % entry[:, 1] * n

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import bucket_of, drop_stored, ranked, stored
 
-SEATS, BINS, ROUNDS, BUCKETS = 16, 256, 12, 32
+SEATS, BINS, ROUNDS = 16, 256, 40
 
 
 def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
@@ -34,7 +34,9 @@ def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Data
             F.max(F.when(F.col("shard").isin(open_), F.struct("v", (-F.col("shard")).alias("s")))).alias("best"),
             F.sum("v").alias("total"),
         ).where("size(votes) > 1")
-        better = (F.col("best.v") > F.col("votes")[F.col("shard")]) | ((F.col("best.v") == F.col("votes")[F.col("shard")]) & (-F.col("best.s") < F.col("shard")))
+        # ties: towards the lower shard, or from a full one to one with room
+        tied = (-F.col("best.s") < F.col("shard")) | ~F.col("shard").isin(open_)
+        better = (F.col("best.v") > F.col("votes")[F.col("shard")]) | ((F.col("best.v") == F.col("votes")[F.col("shard")]) & (-F.col("best.s") != F.col("shard")) & tied)
         bin_ = F.when(F.col("total") > whole, bucket_of(F.col("key"), F.col("cell"), F.lit(k), buckets=BINS)).otherwise(bucket_of(F.col("key"), F.lit(k), buckets=BINS))
         wish = cells.join(group, "key", "left").withColumn("to", F.when(better, -F.col("best.s")).cast("int")).withColumn("bin", F.when(F.col("to").isNotNull(), bin_))
         wish = stored(wish.select("key", "cell", "n", "shard", "to", "bin"), "wish")
@@ -78,14 +80,14 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     labelled = rows.join(cells.select("key", "cell", "shard"), ["key", "cell"], "left").select("doc_id", "size", "text_crc32", F.coalesce("shard", F.lit(-1)).alias("label"))
     labelled = stored(labelled, "labelled")
     drop_stored(rows)
-    numbered, offsets, totals = ranked(labelled, "label", ["doc_id", "text_crc32"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], BUCKETS)
+    numbered, offsets, totals = ranked(labelled, "label", ["doc_id", "text_crc32"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
     kept = [min(totals.get(s, 0), quotas[s]) for s in range(shards)]
     over, at = {-1: 0}, totals.get(-1, 0)
     for s in range(shards):
         over[s] = at
         at += totals.get(s, 0) - kept[s]
-    facts = [(s, b, first, 0 if s < 0 else kept[s], over[s]) for (s, b), first in offsets.items()]
-    facts = F.broadcast(spark.createDataFrame(facts, "label int, _bucket int, _first long, _kept long, _over long"))  # at most 25 x BUCKETS rows
+    facts = [(s, b, first, 0 if s < 0 else kept[s], over[s]) for s, ats in offsets.items() for b, first in enumerate(ats)]
+    facts = F.broadcast(spark.createDataFrame(facts, "label int, _bucket int, _first long, _kept long, _over long"))  # a row for each of 25 labels and their buckets
     rank = F.col("_first") + F.col("_row")
     numbered = numbered.join(facts, ["label", "_bucket"]).withColumn("_rank", rank).withColumn("_pool", F.col("_over") + F.col("_rank") - F.col("_kept"))
     fits = F.col("_rank") < F.col("_kept")
