@@ -2,23 +2,27 @@
 
 A token id is cut into chunks of ``WIDTH`` bits, lowest first. Level 0 holds the lowest chunk
 of every id; a bitmap beside it tells which ids go on in the next level, and a rank directory
-(ones before every ``SPAN`` bits) gives an id's place there. ``token_at`` therefore reads any
+(ones before every ``SPAN`` bits) gives an id's place there. ``fetch_token`` therefore reads any
 single token from a few bytes, without decoding its block.
 
 A file is a Parquet table with one row per segment: the container gives atomic, retried task
-output on any store that Spark reaches. A segment holds whole documents, closed at ``SEGMENT``
-tokens or more; rows are ordered by (part, segment), and so by (doc_id, text).
+output on any store that Spark reaches. Nothing in it is compressed and each row is a row group
+of its own, so a segment's codes lie at a known place of a file: ``Tokens`` finds it from the
+file's footer and reads a token's few bytes there. A segment holds whole documents, closed at
+``SEGMENT`` tokens or more; rows are ordered by (part, segment), and so by (doc_id, text).
 """
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -59,23 +63,29 @@ def _levels(payload) -> list[tuple[int, int, int, int]]:
     return [struct.unpack_from("<4Q", payload, 8 + 32 * k) for k in range(struct.unpack_from("<I", payload, 4)[0])]
 
 
-def token_at(payload, i: int) -> int:
-    """The i-th token, from one chunk, one bit and one directory entry (and under SPAN bits) per level."""
-    view, value = memoryview(payload), 0
-    levels = _levels(view)
+def fetch_token(read: Callable[[int, int], bytes], i: int) -> int:
+    """The i-th token by ``read(place, bytes)``: one chunk, one bit, one directory entry and under SPAN bits per level."""
+    value = 0
+    levels = _levels(read(0, 8 + 32 * struct.unpack("<I", read(4, 4))[0]))
     if not 0 <= i < levels[0][0]:
         raise IndexError(i)
     for k, (_, chunks, bits, ranks) in enumerate(levels):
-        value |= view[chunks + i] << (WIDTH * k)
-        if not view[bits + (i >> 3)] >> (i & 7) & 1:
-            break
+        value |= read(chunks + i, 1)[0] << (WIDTH * k)
         block = i // SPAN
-        before = int.from_bytes(view[bits + block * SPAN // 8 : bits + (i >> 3)], "little").bit_count()
-        before += (view[bits + (i >> 3)] & ((1 << (i & 7)) - 1)).bit_count()
-        i = struct.unpack_from("<Q", view, ranks + 8 * block)[0] + before
+        some = read(bits + block * SPAN // 8, (i >> 3) - block * SPAN // 8 + 1)
+        if not some[-1] >> (i & 7) & 1:
+            break
+        before = int.from_bytes(some[:-1], "little").bit_count() + (some[-1] & ((1 << (i & 7)) - 1)).bit_count()
+        i = struct.unpack("<Q", read(ranks + 8 * block, 8))[0] + before
     return value
 
 
+def token_at(payload, i: int) -> int:
+    """The i-th token of codes in memory."""
+    view = memoryview(payload)
+    return fetch_token(lambda at, n: bytes(view[at : at + n]), i)
+
+
 def unpack_codes(payload) -> np.ndarray:
     """All tokens as uint32."""
     view, levels = memoryview(payload), _levels(memoryview(payload))
@@ -106,9 +116,11 @@ def read_payload(payload) -> tuple[list, np.ndarray, memoryview]:
     return doc_ids, np.frombuffer(view, "<u8", n, 8 + 9 * n).astype(np.int64), view[8 + 17 * n :]
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 1, segment: int = SEGMENT) -> DataFrame:
+def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 1, segment: int = SEGMENT, path: str | None = None) -> DataFrame:
     """Encode whole texts, append ``end_id`` to each, write segments; returns the segment table.
 
+    ``path`` names the folder of the files, which ``Tokens`` reads; without it they go when the program ends.
+
     Rows are ordered by (doc_id, text): a null doc_id comes first, equal doc_ids by their text,
     repeated rows each count. A null or empty text is the end id alone. A text of any length
     stays whole, so a segment exceeds ``segment`` by one document at most. No rows: no segments.
@@ -140,7 +152,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 1, segment: int
         if doc_ids:
             yield close()
 
-    return stored(ordered.mapInArrow(encode, SEGMENTS), "tokens")
+    # one row group a row, and payloads as they are
+    return stored(ordered.mapInArrow(encode, SEGMENTS), "tokens", path, **{"compression": "none", "parquet.block.row.count.limit": "1", "parquet.enable.dictionary": "false"})
 
 
 def segment_offsets(segments: DataFrame) -> DataFrame:
@@ -174,6 +187,110 @@ def read_digests(segments: DataFrame) -> DataFrame:
     return read.join(segment_offsets(segments), ["part", "segment"]).select("doc_id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
+class _Remote(io.RawIOBase):
+    """A file of any store that Spark reaches, read from the driver; ``fetched`` counts its bytes."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.stream, self.size, self.at, self.fetched = files.open(place), files.getFileStatus(place).getLen(), 0, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        self.at = offset + (0, self.at, self.size)[whence]
+        return self.at
+
+    def tell(self) -> int:
+        return self.at
+
+    def read(self, n: int = -1) -> bytes:
+        n = self.size - self.at if n is None or n < 0 else max(0, min(n, self.size - self.at))
+        self.stream.seek(self.at)
+        out = bytes(self.stream.readNBytes(n))
+        self.at, self.fetched = self.at + n, self.fetched + n
+        return out
+
+    def close(self) -> None:
+        if not self.closed:
+            self.stream.close()
+        super().close()
+
+
+class Tokens:
+    """Random access to written token files: what is read for a token is some bytes of its segment.
+
+    Built from the segments' numbers (a row for each SEGMENT tokens), which stay in Spark; a look-up is a
+    filter on them. A segment's place and its documents are remembered for ``RECENT`` segments.
+    """
+
+    RECENT = 64
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        segments = spark.read.parquet(path).select("part", "segment", "n_tokens", "n_docs", F.col("_metadata.file_path").alias("file"))
+        self.index = segments.join(segment_offsets(segments), ["part", "segment"])
+        self.held: OrderedDict[tuple[str, int], tuple[_Remote, int]] = OrderedDict()
+
+    def _segment(self, file: str, number: int) -> tuple[_Remote, int]:
+        """The open file, and where the payload starts in it."""
+        import pyarrow.parquet as pq
+
+        if (file, number) not in self.held:
+            remote = _Remote(self.spark, file)
+            group = pq.read_metadata(pa.PythonFile(remote, "r")).row_group(number)
+            column = next(group.column(k) for k in range(group.num_columns) if group.column(k).path_in_schema == "payload")
+            if column.compression != "UNCOMPRESSED" or group.num_rows != 1:
+                raise ValueError(f"{file}: not written by write_tokens")
+            # the chunk is one page: its header, four bytes of length, the payload
+            start, size = column.data_page_offset, column.total_compressed_size
+            head = self._bytes(remote, start, min(size, 1 << 14))
+            ends = [k for k in range(4, len(head) - 7) if struct.unpack_from("<I", head, k - 4)[0] == size - k]
+            at = next(k for k in ends if self._bytes(remote, start + k + 8 + 17 * struct.unpack_from("<Q", head, k)[0], 4) == MAGIC)
+            self.held[file, number] = remote, start + at
+            if len(self.held) > self.RECENT:
+                self.held.popitem(last=False)[1][0].close()
+        self.held.move_to_end((file, number))
+        return self.held[file, number]
+
+    @staticmethod
+    def _bytes(remote: _Remote, at: int, n: int) -> bytes:
+        remote.seek(at)
+        return remote.read(n)
+
+    def _token(self, file: str, number: int, i: int) -> int:
+        remote, start = self._segment(file, number)
+        n = struct.unpack("<Q", self._bytes(remote, start, 8))[0]
+        codes = start + 8 + 17 * n
+        return fetch_token(lambda at, size: self._bytes(remote, codes + at, size), i)
+
+    def at(self, i: int) -> int:
+        """The i-th token of all."""
+        found = self.index.where((F.col("first") <= i) & (F.col("first") + F.col("n_tokens") > i)).select("file", "segment", "first").first()
+        if found is None:
+            raise IndexError(i)
+        return self._token(found[0], found[1], i - found[2])
+
+    def of(self, documents: DataFrame, doc_id: int, i: int) -> int:
+        """The i-th token of a document; documents: doc_id, start, n_tokens, as ``read_digests`` gives them."""
+        found = documents.where(F.col("doc_id") == doc_id).select("start", "n_tokens").first()
+        if found is None:
+            raise KeyError(doc_id)
+        if not 0 <= i < found[1]:
+            raise IndexError(i)
+        return self.at(found[0] + i)
+
+    def close(self) -> None:
+        for remote, _ in self.held.values():
+            remote.close()
+        self.held.clear()
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
