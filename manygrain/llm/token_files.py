@@ -36,14 +36,15 @@ SEGMENTS = "part int, segment int, n_tokens long, n_docs int, payload binary"
 
 def pack_codes(ids: np.ndarray) -> bytes:
     """Levels of chunks, each with a continuation bitmap and a rank directory."""
-    ids, levels = np.asarray(ids, dtype=np.uint64), []
+    ids, levels = np.asarray(ids, dtype=np.uint32), []
     while True:
-        rest = ids >> np.uint64(WIDTH)
+        rest = ids >> np.uint32(WIDTH)
         on = rest > 0
         bits = np.packbits(on, bitorder="little")
-        ones = np.add.reduceat(on, np.arange(0, len(on), SPAN), dtype=np.int64) if len(on) else np.zeros(0, np.int64)
+        full = np.pad(bits, (0, -len(bits) % (SPAN // 8))).view(np.uint64)
+        ones = np.bitwise_count(full).reshape(-1, SPAN // 64).sum(axis=1, dtype=np.int64)
         ranks = np.concatenate(([0], np.cumsum(ones)))[:-1].astype("<u8") if len(on) else np.zeros(0, "<u8")
-        levels.append((len(ids), (ids & np.uint64((1 << WIDTH) - 1)).astype(np.uint8).tobytes(), bits.tobytes(), ranks.tobytes()))
+        levels.append((len(ids), ids.astype(np.uint8).tobytes(), bits.tobytes(), ranks.tobytes()))
         if not on.any():
             break
         ids = rest[on]
@@ -89,15 +90,17 @@ def token_at(payload, i: int) -> int:
 def unpack_codes(payload) -> np.ndarray:
     """All tokens as uint32."""
     view, levels = memoryview(payload), _levels(memoryview(payload))
-    out, where = np.zeros(levels[0][0], np.uint32), None
+    out, where = np.zeros(levels[0][0], "<u4"), None
+    chunk_of = out.view(np.uint8).reshape(-1, 4)
     for k, (n, chunks, bits, _) in enumerate(levels):
-        values = np.frombuffer(view, np.uint8, n, chunks).astype(np.uint32) << np.uint32(WIDTH * k)
+        values = np.frombuffer(view, np.uint8, n, chunks)
         if where is None:
-            out |= values
+            chunk_of[:, k] = values
         else:
-            out[where] |= values
-        on = np.unpackbits(np.frombuffer(view, np.uint8, (n + 7) // 8, bits), count=n, bitorder="little").astype(bool)
-        where = np.flatnonzero(on) if where is None else where[on]
+            chunk_of[where, k] = values
+        if k + 1 < len(levels):
+            on = np.unpackbits(np.frombuffer(view, np.uint8, (n + 7) // 8, bits), count=n, bitorder="little").view(bool)
+            where = np.flatnonzero(on) if where is None else where[on]
     return out
 
 
@@ -178,7 +181,7 @@ def read_digests(segments: DataFrame) -> DataFrame:
                 doc_ids, lengths, codes = read_payload(payload.as_buffer())
                 ids = unpack_codes(codes)
                 ends = np.cumsum(lengths)
-                sums = [zlib.crc32(ids[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends, lengths)]
+                sums = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends, lengths)]
                 kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 columns = ([part] * len(sums), [number] * len(sums), doc_ids, ends - lengths, lengths, sums)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)

@@ -2,7 +2,7 @@
 
 The vocabularies used here drop white space and never join across it, so a text's ids are
 those of its pieces between blanks and line feeds, one after another. Pieces recur, so each
-Python worker remembers their ids (at most ``MEMO`` pieces, then it starts afresh).
+Python worker remembers their ids (about ``MEMO`` pieces, and as many from before).
 """
 
 from __future__ import annotations
@@ -10,12 +10,14 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 from pathlib import Path
+from struct import Struct
 
 import numpy as np
 
-#: Pieces of a generation.
-MEMO = 300_000
+#: Pieces of a generation, about; parts of pieces.
+MEMO, PARTS = 300_000, 50_000
 #: Characters of text that are cut into pieces at a time.
 STRETCH = 500_000
 _CUT = re.compile("[ \n]")
@@ -25,6 +27,8 @@ _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
+_PACK = [Struct(f"<{n}I").pack for n in range(40)]
+
 # Fixed value: the splitting rule of the vocabularies that the short way holds for.
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -36,6 +40,17 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
 
+class _Memo(dict):
+    """Asks ``learn`` for what it doesn't hold."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self[piece] = self.learn(piece)
+        return found
+
+
 class Encoder:
     """Ids of whole texts as uint32 arrays; equal to ``encode(text, add_special_tokens=False).ids``."""
 
@@ -46,10 +61,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo(self._learned)
         self.before: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.letters = _byte_letters()
+        self.letters, self.tokenize = _byte_letters(), self.tokenizer.model.tokenize
         # the short way only for vocabularies with the rules it states
         rules = json.loads(Path(path).read_text())
         kinds = [n["type"] for n in (rules.get("normalizer") or {}).get("normalizers", [])]
@@ -63,9 +78,7 @@ class Encoder:
         return cls._made[path]
 
     def ids(self, text: str | None) -> np.ndarray:
-        out, memo = [], self.memo
-        text = text or ""
-        at = 0
+        out, at, text = [], 0, text or ""
         while at < len(text):
             end = at + STRETCH
             if end < len(text):  # go on to the next blank, so that no piece is cut
@@ -73,38 +86,31 @@ class Encoder:
                 end = found.end() if found else len(text)
             pieces = text[at:end].replace("\n", " ").split(" ")
             at = end
-            new = [p for p in dict.fromkeys(pieces) if p not in memo]
-            if new:
-                if len(memo) + len(new) > MEMO:
-                    self.before, self.memo = memo, {}
-                    memo = self.memo
-                    new = list(dict.fromkeys(pieces))
-                memo.update((p, self.before[p]) for p in new if p in self.before)
-                new = [p for p in new if p not in memo]
-                if self.plain:
-                    rest = []
-                    for piece in new:
-                        if _PLAIN.fullmatch(piece) and "<|" not in piece:
-                            memo[piece] = self._plain_ids(piece)
-                        else:
-                            rest.append(piece)
-                    new = rest
-                for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    memo[piece] = np.asarray(got.ids, dtype="<u4").tobytes()
-            out.append(b"".join([memo[p] for p in pieces]))
+            if len(self.memo) >= MEMO:
+                self.before, self.memo = self.memo, _Memo(self._learned)
+            out.append(b"".join(map(self.memo.__getitem__, pieces)))
         return np.frombuffer(b"".join(out), dtype="<u4")
 
-    def _plain_ids(self, piece: str) -> bytes:
-        out, parts = b"", self.parts
-        for part in _SPLIT.findall(piece.lower()):
-            ids = parts.get(part)
-            if ids is None:
-                if len(parts) >= MEMO:
-                    parts.clear()
-                word = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-                ids = parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
-            out += ids
-        return out
+    def _learned(self, piece: str) -> bytes:
+        known = self.before.get(piece)
+        if known is not None:
+            return known
+        if self.plain:
+            if piece.isascii() and piece.isalpha():  # one part
+                return self._part_ids(piece.lower())
+            if _PLAIN.fullmatch(piece) and "<|" not in piece:
+                return b"".join([self._part_ids(part) for part in _SPLIT.findall(piece.lower())])
+        return np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _part_ids(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) >= PARTS:
+                self.parts.clear()
+            word = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            ids = [t.id for t in self.tokenize(word)]
+            ids = self.parts[part] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+        return ids
 
 
 def default_vocabulary() -> str:
