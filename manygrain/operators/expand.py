@@ -15,4 +15,4 @@ def expand_with_margins(df: DataFrame, *, by=None, grouping=None, margin_label="
     op.check_labels()
     rows, keys, set_name = expanded(op)
     rest = [c for c in df.columns if c not in op.plan.by and c not in op.plan.dims]
-    return op.finish(rows, keys, set_bits(op, F.col(set_name)), F.col(set_name), rest)
+    return op.finish(rows, keys, set_bits(op, set_name), set_name, rest)

@@ -26,7 +26,7 @@ def _nest(op: Operation, key: str, keep: bool) -> DataFrame:
     cell = F.collect_list(F.struct(*[F.col(quoted(c)) for c in (*kept, *rest)])).alias(key)
     where = [F.col(quoted(keys[c])) for c in (*plan.by, *plan.dims)]
     nested = rows.groupBy(F.col(set_name), *where).agg(cell)
-    return op.finish(nested, keys, set_bits(op, F.col(set_name)), F.col(set_name), [key])
+    return op.finish(nested, keys, set_bits(op, set_name), set_name, [key])
 
 
 def _key(key) -> str:

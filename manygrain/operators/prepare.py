@@ -44,21 +44,24 @@ class Operation:
                 raise MarginError(f"`id` and a result are both called `{name}`.")
             seen.add(name.lower())
 
-    def finish(self, rows: DataFrame, keys: dict[str, str], bits: dict[str, Column], set_id: Column | None, outputs: list[str]) -> DataFrame:
-        """Label, order columns, order rows. keys: the column of ``rows`` that holds each key."""
+    def finish(self, rows: DataFrame, keys: dict[str, str], bits: dict[str, str], set_id: str | None, outputs: list[str]) -> DataFrame:
+        """Label, order columns, order rows. keys: the column of ``rows`` that holds each key; bits, set_id: SQL."""
         plan, schema = self.plan, self.df.schema
-        columns = [F.col(quoted(keys[b])).alias(b) for b in plan.by]
+        columns = [F.expr(f"{quoted(keys[b])} as {quoted(b)}") for b in plan.by]
         for d in plan.dims:
-            value = labelled(F.col(quoted(keys[d])), bits[d] == 1, self.labels[d])
             extra = new_metadata(schema, d, self.labels[d], self.position)
+            if extra is None and not isinstance(self.labels[d], str):
+                columns.append(F.expr(f"{quoted(keys[d])} as {quoted(d)}"))
+                continue
+            value = labelled(F.col(quoted(keys[d])), F.expr(f"{bits[d]} = 1"), self.labels[d])
             columns.append(value.alias(d, metadata=extra) if extra else value.alias(d))
         if self.id:
-            columns.append(set_id.cast("int").alias(self.id))
+            columns.append(F.expr(f"cast({set_id} as int) as {quoted(self.id)}"))
         columns += [F.col(quoted(o)) for o in outputs]
         if self.sort == "none":
             return rows.select(*columns)
-        helpers = [bits[d].alias(self.names.new(f"sort_{k}")) for k, d in enumerate(plan.dims)]
-        last = [set_id.alias(self.names.new("sort_id"))] if set_id is not None else []
+        helpers = [F.expr(f"{bits[d]} as {self.names.new(f'sort_{k}')}") for k, d in enumerate(plan.dims)]
+        last = [F.expr(f"{set_id} as {self.names.new('sort_id')}")] if set_id is not None else []
         out = rows.select(*columns, *helpers, *last)
         bit_names, id_names = out.columns[len(columns) : len(columns) + len(helpers)], out.columns[len(columns) + len(helpers) :]
         order: list[Column] = [self._key(b).asc_nulls_last() for b in plan.by]
@@ -100,10 +103,9 @@ def set_array(ids: list[int]) -> Column:
     return F.array(*[F.lit(i) for i in ids])
 
 
-def by_set(set_id: Column, values: dict[int, int]) -> Column:
-    """A constant for each set."""
-    most = max(values)
-    return F.get(F.array(*[F.lit(values.get(i)).cast("int") for i in range(1, most + 1)]), set_id - 1)
+def by_set(set_id: str, values: dict[int, int]) -> str:
+    """SQL for a constant for each set."""
+    return f"get(array({', '.join(str(values.get(i, 'null')) for i in range(1, max(values) + 1))}), {set_id} - 1)"
 
 
 def expanded(op: Operation, distinct: bool = False) -> tuple[DataFrame, dict[str, str], str]:
@@ -116,10 +118,10 @@ def expanded(op: Operation, distinct: bool = False) -> tuple[DataFrame, dict[str
     columns = {}
     for k, d in enumerate(plan.dims):
         keys[d] = op.names.new(f"key_{k}")
-        inside = [i for i in ids if d in plan.sets[i - 1]]
-        columns[keys[d]] = F.when(F.col(set_name).isin(inside), F.col(quoted(d)))
+        inside = ", ".join(str(i) for i in ids if d in plan.sets[i - 1])
+        columns[keys[d]] = F.expr(f"if({set_name} in ({inside}), {quoted(d)}, null)")
     return (rows.withColumns(columns) if columns else rows), keys, set_name
 
 
-def set_bits(op: Operation, set_id: Column) -> dict[str, Column]:
+def set_bits(op: Operation, set_id: str) -> dict[str, str]:
     return {d: by_set(set_id, {i: int(d not in op.plan.sets[i - 1]) for i in op.plan.ids}) for d in op.plan.dims}

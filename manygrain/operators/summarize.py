@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NullType, NumericType, StructField, StructType
-from pyspark.sql.window import Window
 
 from ..errors import MarginError
 from ..functions.context import Deferred
 from ..functions.selections import Across, Selected, ShareAcross, quoted
 from ..functions.shares import Share
-from .prepare import Operation, by_set, expanded, prepare, set_array, set_bits
+from ..plans.plan import GroupingPlan
+from .prepare import Operation, by_set, expanded, prepare, set_bits
 
 #: Columns that Spark's grouping sets take at most.
 NATIVE_COLUMNS = 64
+#: Dimensions up to which a set is looked up by its bits in an array.
+DENSE = 10
 #: Copies of a grand total among which the rows that refer to it are dealt.
 SALTS = 256
 #: Plan nodes below which a look for one row reads one piece of one input.
@@ -96,53 +97,53 @@ def _check_shares(op: Operation, items: list[tuple], grouping) -> None:
         raise MarginError("`share_of_total()` needs the grand total among the grouping sets.")
 
 
-def _aggregate(op: Operation, items: list[tuple[str, Column | Deferred]], method: str) -> tuple[DataFrame, dict[str, str], dict[str, Column], tuple[Column, bool]]:
-    """Aggregated rows, one for each group of each distinct set, then repeated for its occurrences."""
+def _id_of(plan: GroupingPlan, mask: str) -> str:
+    """SQL for the first id of the set whose grouping bits, read as a number, are ``mask``."""
+    first = {sum(b << k for k, b in enumerate(reversed(m))): o[0] for m, o in plan.distinct.items()}
+    if len(first) == 1:
+        return str(next(iter(first.values())))
+    if len(plan.dims) <= DENSE:
+        return f"get(array({', '.join(str(first.get(m, 'null')) for m in range(1 << len(plan.dims)))}), cast({mask} as int))"
+    signed = {m - (1 << 64) if m >> 63 else m: i for m, i in first.items()}
+    return f"element_at(map({', '.join(f'{m + 1}L - 1L, {i}' if m < 0 else f'{m}L, {i}' for m, i in signed.items())}), {mask})"
+
+
+def _aggregate(op: Operation, items: list[tuple[str, Column | Deferred]], method: str) -> tuple[DataFrame, dict[str, str], dict[str, str], tuple[str, bool]]:
+    """Aggregated rows, one for each group of each distinct set, then repeated for its occurrences; bits and the set's id as SQL."""
     plan, df = op.plan, op.df
-    bit_names = {d: op.names.new(f"bit_{k}") for k, d in enumerate(plan.dims)}
     canon = {c.lower(): c for c in (*plan.by, *plan.dims)}
 
     def resolved(bit) -> list[Column]:
         of = lambda c: F.lit(0) if canon[c.lower()] in plan.by else bit(canon[c.lower()])
         return [(v.resolve(of) if isinstance(v, Deferred) else v).alias(n) for n, v in items]
 
-    spare = [F.count(F.lit(1)).alias(op.names.new("rows"))]
+    spare = [F.expr(f"count(1) as {op.names.new('rows')}")]
     inner = [n for n, v in items if not isinstance(v, Deferred) and "grouping(" in v._jc.toString()]  # helpers inside other expressions
-    if inner and (method == "explode" or len(plan.by) + len(plan.dims) > NATIVE_COLUMNS or not plan.by and not plan.dims):
+    explode = method == "explode" or len(plan.by) + len(plan.dims) > NATIVE_COLUMNS
+    if inner and (explode or not plan.by and not plan.dims):
         raise MarginError(f"`{inner[0]}`: here a grouping helper must stand alone or in arithmetic.")
-    if method == "explode" or len(plan.by) + len(plan.dims) > NATIVE_COLUMNS:
-        rows, keys, set_name = expanded(op, distinct=True)
-        bits = set_bits(op, F.col(set_name))
-        where = [F.col(quoted(keys[c])) for c in (*plan.by, *plan.dims)]
-        out = rows.groupBy(F.col(set_name), *where).agg(*spare, *resolved(lambda d: F.max(bits[d])), *[F.max(bits[d]).alias(bit_names[d]) for d in plan.dims])
-        first = F.col(set_name)
+    if explode:
+        rows, keys, mark = expanded(op, distinct=True)
+        bits, first, top = set_bits(op, mark), mark, plan.sets.index(()) + 1 if plan.has_total else None
+        out = rows.groupBy(F.col(mark), *[F.col(quoted(keys[c])) for c in (*plan.by, *plan.dims)]).agg(*spare, *resolved(lambda d: F.max(F.expr(bits[d]))))
     else:
-        keys = {c: c for c in (*plan.by, *plan.dims)}
+        keys, mark = {c: c for c in (*plan.by, *plan.dims)}, op.names.new("mask")
         columns = [F.col(quoted(c)) for c in (*plan.by, *plan.dims)]
+        top = -1 if len(plan.dims) == NATIVE_COLUMNS else (1 << len(plan.dims)) - 1
+        bits = {d: f"cast(shiftright({mark}, {len(plan.dims) - 1 - k}) & 1 as int)" for k, d in enumerate(plan.dims)}
+        first = _id_of(plan, mark)
         if not columns:
-            out = df.agg(*spare, *resolved(lambda d: F.lit(1)))
+            out = df.agg(*spare, *resolved(lambda d: F.lit(1)), F.expr(f"0L as {mark}"))
         elif not plan.dims and not inner:
-            out = df.groupBy(*columns).agg(*spare, *resolved(lambda d: F.lit(1)))
+            out = df.groupBy(*columns).agg(*spare, *resolved(lambda d: F.lit(1)), F.expr(f"0L as {mark}"))
         else:
             sets = [[F.col(quoted(c)) for c in (*plan.by, *plan.sets[i[0] - 1])] for i in plan.distinct.values()]
-            out = df.groupingSets(sets, *columns).agg(*spare, *resolved(F.grouping), *[F.grouping(F.col(quoted(d))).cast("int").alias(bit_names[d]) for d in plan.dims])
-        first = None
+            out = df.groupingSets(sets, *columns).agg(*spare, *resolved(F.grouping), F.expr(f"cast(grouping_id() as bigint) as {mark}"))
     if plan.has_total and not plan.by and plan.dims and not df.isStreaming and not inner:
         # grouping sets give no grand total for no rows; an aggregate of nothing does
-        nothing = df.where(F.lit(False)).agg(*spare, *resolved(lambda d: F.lit(1)))
-        fixed = {n: F.lit(1) for n in bit_names.values()} | {keys[d]: F.lit(None) for d in plan.dims}
-        if first is not None:
-            fixed[set_name] = F.lit(plan.sets.index(()) + 1)
-        nothing = nothing.select(*[fixed[f.name].cast(f.dataType).alias(f.name) if f.name in fixed else F.col(quoted(f.name)) for f in out.schema.fields])
-        total = reduce(lambda x, y: x & y, [F.col(n) == 1 for n in bit_names.values()])
-        out = _or_nothing(op, out, nothing, total, [keys[d] for d in plan.dims])
-    bits = {d: F.col(bit_names[d]) for d in plan.dims}
-    ids = list(plan.distinct.items())
-    if first is None:
-        code = F.concat(*[bits[d].cast("string") for d in plan.dims]) if plan.dims else F.lit("")
-        first = F.lit(ids[0][1][0]) if len(ids) == 1 else F.element_at(F.create_map(*[x for m, o in ids for x in (F.lit("".join(map(str, m))), F.lit(o[0]))]), code)
-    needed = op.id or op.sort != "none" or any(len(o) > 1 for _, o in ids)
-    return out, keys, bits, (first, bool(needed))
+        nothing = df.where("false").agg(*spare, *resolved(lambda d: F.lit(1)), F.expr(f"{top}{'' if explode else 'L'} as {mark}"))
+        out = _or_nothing(op, out, nothing, f"{mark} = {top}", [keys[d] for d in plan.dims])
+    return out, keys, bits, (first, bool(op.id or op.sort != "none" or any(len(o) > 1 for o in plan.distinct.values())))
 
 
 def _numeric(rows: DataFrame, name: str, source: str) -> None:
@@ -151,6 +152,10 @@ def _numeric(rows: DataFrame, name: str, source: str) -> None:
         raise MarginError(f"`{name}` needs a numeric summary; `{source}` is {kind.simpleString()}.")
 
 
+def _listed(ids: list[int]) -> str:
+    return ", ".join(map(str, ids))
+
+
 def _with_shares(op: Operation, rows: DataFrame, keys: dict[str, str], set_name: str, shares: list[tuple[str, Share]]) -> DataFrame:
     """One window per kind over the aggregated rows, so that they are computed once.
 
@@ -158,7 +163,7 @@ def _with_shares(op: Operation, rows: DataFrame, keys: dict[str, str], set_name:
     dimensions) hands its value to them, null keys being equal. Without ``by`` the grand total is
     repeated SALTS times, and what refers to it is dealt among them.
     """
-    plan = op.plan
+    plan, columns = op.plan, [quoted(c) for c in rows.columns]
     for kind in ("parent", "total"):
         wanted = [(n, s) for n, s in shares if s.kind == kind]
         if not wanted:
@@ -167,38 +172,37 @@ def _with_shares(op: Operation, rows: DataFrame, keys: dict[str, str], set_name:
         children = {i: t for i, t in targets.items() if t is not None}
         own = [i for i, t in targets.items() if t is None]
         if not children:
-            rows = rows.withColumns({n: F.lit(1.0) for n, _ in wanted})
+            rows = rows.select("*", *[F.expr(f"1D as {quoted(n)}") for n, _ in wanted])
+            columns += [quoted(n) for n, _ in wanted]
             continue
-        sources = list(dict.fromkeys(s.source for _, s in wanted))
-        num = {s: F.col(quoted(s)).cast("double") for s in sources}
-        role, set_id = op.names.new("role"), F.col(set_name)
-        spread = [t for t in set(children.values()) if not plan.by and not plan.sets[t - 1]]
-        hashed = F.pmod(F.xxhash64(set_id, *[F.col(quoted(keys[c])) for c in (*plan.by, *plan.dims)]), F.lit(SALTS)).cast("int")
-        target = by_set(set_id, {i: children.get(i, 0) for i in plan.ids})
-        salt = F.when(target.isin([0, *spread]), hashed).otherwise(0)
-        entry = lambda is_target, of, salt: F.struct(F.lit(is_target).alias("target"), of.cast("int").alias("of"), salt.cast("int").alias("salt"))
-        as_child, as_target = F.array(entry(False, target, salt)), F.array(entry(True, set_id, F.lit(0)))
-        repeated = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: entry(True, set_id, k))
+        role, target = op.names.new("role"), by_set(set_name, {i: children.get(i, 0) for i in plan.ids})
         referred = sorted(set(children.values()))
-        roles = F.when(set_id.isin(spread), F.concat(as_child, repeated)) if spread else F
-        plain = [t for t in referred if t not in spread]
-        if plain:
-            roles = roles.when(set_id.isin(plain), F.concat(as_child, as_target))
-        rows = rows.withColumn(role, F.explode(roles.otherwise(as_child)))
-        parts = [F.col(f"{role}.of"), F.col(f"{role}.salt"), *[F.col(quoted(keys[b])) for b in plan.by]]
+        spread = [t for t in referred if not plan.by and not plan.sets[t - 1]]
+        hashed = f"cast(pmod(xxhash64({', '.join([set_name, *[quoted(keys[c]) for c in (*plan.by, *plan.dims)]])}), {SALTS}) as int)"
+        entry = lambda is_target, of, salt: f"named_struct('target', {is_target}, 'of', {of}, 'salt', {salt})"
+        as_child = f"array({entry('false', target, f'if({target} in ({_listed([0, *spread])}), {hashed}, 0)')})"
+        roles = as_child
+        if plain := [t for t in referred if t not in spread]:
+            roles = f"if({set_name} in ({_listed(plain)}), concat({as_child}, array({entry('true', set_name, 0)})), {roles})"
+        if spread:
+            repeated = f"transform(sequence(0, {SALTS - 1}), salt -> {entry('true', set_name, 'salt')})"
+            roles = f"if({set_name} in ({_listed(spread)}), concat({as_child}, {repeated}), {roles})"
+        rows = rows.select("*", F.expr(f"explode({roles}) as {role}"))
+        parts = [f"{role}.of", f"{role}.salt", *[quoted(keys[b]) for b in plan.by]]
         if kind == "parent":
             for d in plan.dims:
-                inside = [t for t in referred if d in plan.sets[t - 1]]
-                if inside:
-                    parts.append(F.when(F.col(f"{role}.of").isin(inside), F.col(quoted(keys[d]))))
-        window, is_target = Window.partitionBy(*parts), F.col(f"{role}.target")
-        rows = rows.withColumns({n: F.max(F.when(is_target, num[s.source])).over(window) for n, s in wanted}).where(~is_target)
+                if inside := [t for t in referred if d in plan.sets[t - 1]]:
+                    parts.append(f"if({role}.of in ({_listed(inside)}), {quoted(keys[d])}, null)")
+        dens = {s: op.names.new(f"of_{kind}_{k}") for k, s in enumerate(dict.fromkeys(s.source for _, s in wanted))}
+        over = f"over (partition by {', '.join(parts)})"
+        rows = rows.select("*", *[F.expr(f"max(if({role}.target, cast({quoted(s)} as double), null)) {over} as {den}") for s, den in dens.items()]).where(f"not {role}.target")
+        ratios = []
         for n, s in wanted:
-            top, den = num[s.source], F.col(quoted(n))
-            void = top.isNull() | F.isnan(top) | den.isNull() | F.isnan(den) | (den == 0)
-            ratio = F.when(void, F.lit(None).cast("double")).otherwise(top / den)
-            rows = rows.withColumn(n, F.when(set_id.isin(own), F.lit(1.0)).otherwise(ratio) if own else ratio)
-        rows = rows.drop(role)
+            top, den = f"cast({quoted(s.source)} as double)", dens[s.source]
+            ratio = f"if({top} is null or isnan({top}) or {den} is null or isnan({den}) or {den} = 0, null, {top} / {den})"
+            ratios.append(F.expr((f"if({set_name} in ({_listed(own)}), 1D, {ratio})" if own else ratio) + f" as {quoted(n)}"))
+        rows = rows.select(*columns, *ratios)
+        columns += [quoted(n) for n, _ in wanted]
     return rows
 
 
@@ -215,20 +219,21 @@ def _reads_only(df: DataFrame) -> bool:
         return False
 
 
-def _or_nothing(op: Operation, out: DataFrame, nothing: DataFrame, total: Column, keys: list[str]) -> DataFrame:
-    """``out``, or ``nothing`` (one row) if the data have no row.
+def _or_nothing(op: Operation, out: DataFrame, nothing: DataFrame, total: str, keys: list[str]) -> DataFrame:
+    """``out``, or ``nothing`` (one row, without keys) if the data have no row.
 
     Over a plain scan a look for one row decides; else the grand total's own presence does, so that
     nothing below the aggregate runs twice.
     """
     if _reads_only(op.df):
-        return out.unionByName(nothing.join(op.df.select(F.lit(1).alias(op.names.new("any"))).limit(1), F.lit(True), "left_anti"))
+        found = op.df.select(F.expr(f"1 as {op.names.new('any')}")).limit(1)
+        return out.unionByName(nothing.join(found, F.lit(True), "left_anti"), allowMissingColumns=True)
     spare, slot = op.names.new("spare"), op.names.new("slot")
-    both = out.withColumn(spare, F.lit(False)).unionByName(nothing.withColumn(spare, F.lit(True)))
-    dealt = F.pmod(F.xxhash64(*[F.col(quoted(k)) for k in keys]), F.lit(SALTS)) + 1
-    both = both.withColumn(slot, F.when(total | F.col(spare), F.lit(0)).otherwise(dealt))
-    found = F.max(F.when(~F.col(spare) & (F.col(slot) == 0), 1)).over(Window.partitionBy(slot))
-    return both.withColumn(slot, found).where(~F.col(spare) | F.col(slot).isNull()).drop(spare, slot)
+    both = out.select("*", F.expr(f"false as {spare}")).unionByName(nothing.select("*", F.expr(f"true as {spare}")), allowMissingColumns=True)
+    dealt = f"cast(pmod(xxhash64({', '.join(quoted(k) for k in keys)}), {SALTS}) as int) + 1"
+    both = both.select("*", F.expr(f"if({spare} or {total}, 0, {dealt}) as {slot}"))
+    found = f"max(if(not {spare} and {slot} = 0, 1, null)) over (partition by {slot})"
+    return both.withColumn(slot, F.expr(found)).where(f"not {spare} or {slot} is null").drop(spare, slot)
 
 
 def summarize_with_margins(df: DataFrame, *summaries, by=None, grouping=None, margin_label="Total", margin_label_position: str = "last", check_margin_label: bool = False,
@@ -283,10 +288,11 @@ def summarize_with_margins(df: DataFrame, *summaries, by=None, grouping=None, ma
         set_name = op.names.new("id")
         occurrences = {o[0]: o for o in op.plan.distinct.values()}
         if any(len(o) > 1 for o in occurrences.values()):
-            rows = rows.withColumn(set_name, F.explode(F.get(F.array(*[set_array(occurrences.get(i, [])).cast("array<int>") for i in op.plan.ids]), first - 1)))
+            each = ", ".join(f"cast(array({_listed(occurrences.get(i, []))}) as array<int>)" for i in op.plan.ids)
+            rows = rows.select("*", F.expr(f"explode(get(array({each}), {first} - 1)) as {set_name}"))
         else:
-            rows = rows.withColumn(set_name, first)
-        set_id = F.col(set_name)
+            rows = rows.select("*", F.expr(f"{first} as {set_name}"))
+        set_id = set_name
         if shares:
             if check_share_source:
                 for n, s in shares:
