@@ -23,7 +23,7 @@ def main() -> None:
         .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    rows = spark.range(100_000).select(*[(F.xxhash64("id", F.lit(k)) % n).cast("int").alias(c) for k, (c, n) in enumerate((("division", 50), ("region", 20), ("store", 10), ("item", 5)))], F.rand(1).alias("revenue")).cache()
+    rows = spark.range(100_000).select(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)).cast("int").alias(c) for k, (c, n) in enumerate((("division", 50), ("region", 20), ("store", 10), ("item", 5)))], F.rand(1).alias("revenue")).cache()
     rows.count()
 
     def parent_share(spark, folder):
