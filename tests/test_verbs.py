@@ -201,3 +201,27 @@ def test_shares_brute_force(spark):
     got = rows(summarize_with_margins(df, {"s": F.sum("v"), "p": share_of_parent("s"), "t": share_of_total("s")}, by="k", grouping=rollup("a", "b"), margin_label="*"))
     norm = lambda rs: sorted([repr((*[str(x) for x in r[:3]], r[3], *[None if x is None else round(x, 9) for x in r[4:]])) for r in rs])
     assert norm(got) == norm(want) and len(list(itertools.chain(*levels))) == len(got)
+
+
+def test_many_dimensions_and_awkward_names(spark):
+    names = [f"d.{k} `x`" for k in range(12)]
+    df = spark.createDataFrame([tuple(f"{(r >> k) & 1}" for k in range(12)) + (r,) for r in range(40)], [*names, "v a.l"])
+    spec, what = rollup(*names), {"s u.m": F.sum("`v a.l`"), "to p": share_of_parent("s u.m"), "to t": share_of_total("s u.m")}
+    native = summarize_with_margins(df, what, grouping=spec, id="set")
+    exploded = summarize_with_margins(df, what, grouping=spec, id="set", method="explode")
+    assert native.columns == exploded.columns == [*names, "set", "s u.m", "to p", "to t"]
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(map(tuple, native.collect()), key=key) == sorted(map(tuple, exploded.collect()), key=key)
+    for r in native.where("`set` >= 12").collect():
+        assert r["to t"] == r["s u.m"] / 780 and r["to p"] == (1.0 if r["set"] == 13 else r["s u.m"] / 780)
+    for method in ("native", "explode"):
+        none = summarize_with_margins(df.limit(0), what, grouping=spec, id="set", method=method).collect()
+        assert [tuple(r) for r in none] == [("Total",) * 12 + (13, None, 1.0, 1.0)]
+
+
+def test_widest_native_plan(spark):
+    names = [f"c{k}" for k in range(64)]
+    df = spark.range(3).select(*[F.col("id").alias(n) for n in names])
+    out = summarize_with_margins(df, n=F.count(F.lit(1)), bit=grouping_bit("c0"), last=grouping_bit("c63"), grouping=grouping_sets(grouping_set(*names), grouping_set(*names[1:]), grouping_set("c0"), grouping_set()), id="set", margin_label=None)
+    got = [(r["set"], r["n"], r["bit"], r["last"]) for r in out.collect()]
+    assert sorted(got) == [(1, 1, 0, 0)] * 3 + [(2, 1, 1, 0)] * 3 + [(3, 1, 0, 1)] * 3 + [(4, 3, 1, 1)]
