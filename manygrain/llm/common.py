@@ -6,8 +6,10 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -133,15 +135,40 @@ def ranked(df: DataFrame, key: str, spread: Sequence[str], order: Sequence[Colum
     return df.withColumn("_row", F.row_number().over(window).cast("long") - 1), offsets, totals
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph by alternating large-star and small-star rounds.
+#: Up to so many edges (8 MB) components are found in the memory of one task.
+INSIDE = 500_000
+
+
+def _components_inside(edges: DataFrame) -> DataFrame:
+    """node, component of the edges u, v, found in one task."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .simhash import local_roots
+
+        ends = [np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]) for batch in batches if batch.num_rows]
+        if ends:
+            u, v = np.concatenate(ends, axis=1)
+            nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+            root = local_roots(len(nodes), iter([(at[: len(u)], at[len(u) :])]))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "component"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(solve, "node long, component long")
+
+
+def connected_components(edges: DataFrame, rounds: int = 60, inside: int | None = None) -> DataFrame:
+    """Components of an undirected graph: up to ``inside`` (INSIDE) edges in one task, else by alternating large-star and small-star rounds.
 
     ``edges`` has columns a, b (long). Returns node, component (the smallest node that can be
     reached); nodes without an edge to another node are absent. Null ends are ignored.
     Hot nodes: minima are pre-aggregated, the joins back are plain shuffle joins of two
-    tables, which adaptive execution splits. Each round is written and the one before deleted.
+    tables, which adaptive execution splits. Each round is written and the one before deleted:
+    some four tables a round, with a file for each shuffle partition however few edges there are.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if e.count() <= (INSIDE if inside is None else inside):
+        out = stored(_components_inside(e), "components")
+        drop_stored(e)
+        return out
     state = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from manygrain.llm import chat, mixing, packing, private, quality, repeats, sharding, similar, simhash, token_files, vectors
+from manygrain.llm import chat, common, mixing, packing, private, quality, repeats, sharding, similar, simhash, token_files, vectors
 from manygrain.llm.common import connected_components
 from manygrain.llm.tokens import Encoder, default_vocabulary
 
@@ -148,6 +148,20 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 7: 1, 8: 8, 9: 8, 30: 8} | {k: 100 for k in range(100, 141)}
 
 
+def test_components_of_few_edges_in_one_task(spark, monkeypatch):
+    """Few edges need two written tables, not four a round, and the rounds find the same."""
+    rng = np.random.default_rng(3)
+    edges = [(k, k + 1) for k in range(0, 300)] + [(-5, 9000), (9000, 9000), (None, 4), (4, None), (-(1 << 62), 1 << 62)] + [tuple(p) for p in (1000 + rng.integers(0, 400, (250, 2))).tolist()]
+    written, write = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, what, *a, **b: written.append(what) or write(df, what, *a, **b))
+    table = spark.createDataFrame(edges, "a long, b long")
+    few = sorted(map(tuple, connected_components(table).select("node", "component").collect()))
+    assert len(written) == 2
+    assert few == sorted(map(tuple, connected_components(table, inside=0).select("node", "component").collect())) and len(written) > 6
+    assert dict(few)[300] == 0 and dict(few)[9000] == -5 and dict(few)[1 << 62] == -(1 << 62)
+    assert connected_components(table.where("a = 9000")).collect() == []
+
+
 def test_sharding(docs, none):
     assert sharding.shard_documents(none).collect() == []
     rows = sharding.shard_documents(docs.unionByName(docs).unionByName(docs), 4).collect()
