@@ -30,6 +30,8 @@ from .common import stored
 from .tokens import Encoder, default_vocabulary
 
 WIDTH, SPAN, SEGMENT = 8, 512, 1 << 20
+#: Pieces of a generation that a worker remembers.
+PIECES = 450_000
 MAGIC = b"DAC1"
 SEGMENTS = "part int, segment int, n_tokens long, n_docs int, payload binary"
 
@@ -135,7 +137,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 1, segment: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, number = TaskContext.get().partitionId(), Encoder.of(vocabulary), 0
+        part, encoder, number = TaskContext.get().partitionId(), Encoder.of(vocabulary, PIECES), 0
         doc_ids, lengths, held, total = [], [], [], 0
 
         def close() -> pa.RecordBatch:

@@ -17,7 +17,7 @@ from struct import Struct
 import numpy as np
 
 #: Pieces of a generation, about; parts of pieces.
-MEMO, PARTS = 300_000, 50_000
+MEMO, PARTS = 300_000, 100_000
 #: Characters of text that are cut into pieces at a time.
 STRETCH = 500_000
 _CUT = re.compile("[ \n]")
@@ -41,29 +41,35 @@ def _byte_letters() -> list[str]:
 
 
 class _Memo(dict):
-    """Asks ``learn`` for what it doesn't hold."""
+    """Looks in ``before`` and then asks ``learn`` for what it doesn't hold."""
 
-    def __init__(self, learn: Callable[[str], bytes]):
-        self.learn = learn
+    __slots__ = ("learn", "before")
+
+    def __init__(self, learn: Callable[[str], bytes], before: "_Memo | None" = None):
+        self.learn, self.before = learn, {} if before is None else before
+        if before is not None:
+            before.before = {}  # two generations, no chain of them
 
     def __missing__(self, piece: str) -> bytes:
-        found = self[piece] = self.learn(piece)
+        found = self.before.get(piece)
+        if found is None:
+            found = self.learn(piece)
+        self[piece] = found
         return found
 
 
 class Encoder:
     """Ids of whole texts as uint32 arrays; equal to ``encode(text, add_special_tokens=False).ids``."""
 
-    _made: dict[str, "Encoder"] = {}
+    _made: dict[tuple[str, int | None], "Encoder"] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = _Memo(self._learned)
-        self.before: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.most, self.memo = most, _Memo(self._learned)
+        self.parts = _Memo(self._part_ids)
         self.letters, self.tokenize = _byte_letters(), self.tokenizer.model.tokenize
         # the short way only for vocabularies with the rules it states
         rules = json.loads(Path(path).read_text())
@@ -72,10 +78,11 @@ class Encoder:
         self.plain = kinds == ["NFC", "Replace", "Lowercase"] and splits == [RULE, None]
 
     @classmethod
-    def of(cls, path: str) -> "Encoder":
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, most: int | None = None) -> "Encoder":
+        """The worker's encoder, with ``most`` (MEMO) pieces of a generation."""
+        if (path, most) not in cls._made:
+            cls._made[path, most] = cls(path, most)
+        return cls._made[path, most]
 
     def ids(self, text: str | None) -> np.ndarray:
         out, at, text = [], 0, text or ""
@@ -86,31 +93,25 @@ class Encoder:
                 end = found.end() if found else len(text)
             pieces = text[at:end].replace("\n", " ").split(" ")
             at = end
-            if len(self.memo) >= MEMO:
-                self.before, self.memo = self.memo, _Memo(self._learned)
+            if len(self.memo) >= (self.most or MEMO):
+                self.memo = _Memo(self._learned, self.memo)
             out.append(b"".join(map(self.memo.__getitem__, pieces)))
         return np.frombuffer(b"".join(out), dtype="<u4")
 
     def _learned(self, piece: str) -> bytes:
-        known = self.before.get(piece)
-        if known is not None:
-            return known
         if self.plain:
+            if len(self.parts) >= PARTS:
+                self.parts = _Memo(self._part_ids, self.parts)
             if piece.isascii() and piece.isalpha():  # one part
-                return self._part_ids(piece.lower())
+                return self.parts[piece.lower()]
             if _PLAIN.fullmatch(piece) and "<|" not in piece:
-                return b"".join([self._part_ids(part) for part in _SPLIT.findall(piece.lower())])
+                return b"".join(map(self.parts.__getitem__, _SPLIT.findall(piece.lower())))
         return np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _part_ids(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            if len(self.parts) >= PARTS:
-                self.parts.clear()
-            word = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-            ids = [t.id for t in self.tokenize(word)]
-            ids = self.parts[part] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
-        return ids
+        word = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+        ids = [t.id for t in self.tokenize(word)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
 
 
 def default_vocabulary() -> str:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from manygrain.llm import chat, common, mixing, packing, private, quality, repeats, sharding, similar, simhash, token_files, vectors
+from manygrain.llm import chat, common, mixing, packing, private, quality, repeats, sharding, similar, simhash, token_files, tokens, vectors
 from manygrain.llm.common import connected_components
 from manygrain.llm.tokens import Encoder, default_vocabulary
 
@@ -49,6 +49,16 @@ def test_token_files(docs, none):
         at += n
 
 
+def test_parts_of_the_generation_before_are_known(monkeypatch):
+    monkeypatch.setattr(tokens, "PARTS", 2)
+    encoder, asked = Encoder(default_vocabulary()), []
+    tokenize = encoder.tokenize
+    encoder.tokenize = lambda word: asked.append(word) or tokenize(word)
+    text = "red blue green RED Blue"
+    assert encoder.ids(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert asked[:3] == ["red", "blue", "green"] and "red" not in asked[3:]
+
+
 def test_addressable_codes():
     for ids in (np.zeros(0, np.uint32), np.array([0, 255, 256, 65535, 65536, 2**31]), np.random.default_rng(1).integers(0, 60_000, 5000)):
         packed = token_files.pack_codes(ids)
